@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, language, mixing, quality, simhash, token_counts, token_files, toxicity
+from . import decontam, html_text, language, mixing, passages, quality, simhash, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_host_quality": op8_host_quality,
+    "op9_compact_windows": op9_compact_windows,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -116,6 +121,4 @@ SELECT doc_id, size, source_size, target,
   CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - earlier)) AS BIGINT) AS taken
 FROM p
 """,
-    "op8_host_quality": "",
 }
-del SQL["op8_host_quality"]
