@@ -131,7 +131,9 @@ class TokenCounter:
         return self.merger.count(symbols)
 
     def _plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isalpha():  # letters alone are one word
+            return self.word_memo[text]
         return sum(map(self.word_memo.__getitem__, self.words.findall(text)))
 
     def _run(self, run: str) -> int:
