@@ -50,7 +50,7 @@ def missing_values(df: DataFrame, schema: RTSchema, hierarchies: Hierarchies) ->
     parts = []
     for c in schema.categorical:
         parts.append(df.select(F.lit(c).alias("attr"), F.col(c).cast("string").alias("value")))
-    parts.append(df.select(F.lit(schema.items).alias("attr"), F.explode(F.col(schema.items)).alias("value")))
+    parts.append(df.select(F.lit(schema.items).alias("attr"), F.explode(F.col(schema.items)).alias("value")).where("trim(value) <> ''"))
     out = None
     for name, part in zip([*schema.categorical, schema.items], parts):
         bad = part.where(lookup(hierarchies[name], F.col("value")).isNull()).groupBy("attr", "value").agg(F.count(F.lit(1)).alias("n"))
