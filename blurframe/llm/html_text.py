@@ -4,8 +4,9 @@ A page is a row of words and tags. Words score positive and tags negative,
 with weights from labelled pages: a word by where it stands (running text, a
 link, or an element of the page's frame), a tag by its name. A linear scan
 finds the contiguous region with the largest sum. The region is widened to
-whole blocks, and blocks in it that stand in an element of the frame (an
-advert or a comment list between two paragraphs) are left out.
+whole blocks and to the whole article (or main) element that most of its words
+stand in, and blocks in it that stand in an element of the frame (an advert or
+a comment list between two paragraphs) are left out.
 
 The labelled pages are written here by :func:`labelled_pages`: layouts with
 the parts that pages have, each word marked as content or not. The weights are
@@ -79,20 +80,22 @@ def is_frame(name: str, attributes: str) -> bool:
     """Whether an element is part of the page's frame, by its name or its marks."""
     if name in FRAME:
         return True
-    if not attributes or name in ("html", "body", "main", "article", "p", "h1", "b", "i", "em", "strong"):
+    if not attributes or name in ("html", "body", "main", "p", "h1", "b", "i", "em", "strong"):
         return False
+    if name == "article":  # the text itself, unless it is a comment
+        return any(part in ("comment", "comments", "reply") for value in _MARK.findall(attributes) for part in _PART.findall(value.lower()))
     if _HIDDEN.search(attributes):
         return True
     return any(part in HINTS for value in _MARK.findall(attributes) for part in _PART.findall(value.lower()))
 
 
 class Block:
-    """A block of text: its pieces, its words by place, and the tags before it."""
+    """A block of text: its pieces, its words by place, the tags before it, and the article it stands in."""
 
-    __slots__ = ("frame", "pieces", "tags", "words", "linked")
+    __slots__ = ("frame", "home", "linked", "pieces", "tags", "words")
 
-    def __init__(self, tags: list[str], frame: bool):
-        self.tags, self.frame, self.pieces = tags, frame, []
+    def __init__(self, tags: list[str], frame: bool, home: int):
+        self.tags, self.frame, self.home, self.pieces = tags, frame, home, []
         self.words = self.linked = 0
 
 
@@ -100,16 +103,18 @@ def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is of the frame
-    frame = links = articles = 0
+    frame = links = seen = 0
+    articles: list[int] = []  # numbers of the open article and main elements
     tags: list[str] = []
     block: Block | None = None
 
     def close(upto: int) -> None:
-        nonlocal frame, links, articles
+        nonlocal frame, links
         for name, framed in stack[upto:]:
             frame -= framed
             links -= name == "a"
-            articles -= name in ("article", "main")
+            if name in ("article", "main"):
+                articles.pop()
         del stack[upto:]
 
     for m in _TOKEN.finditer(html):
@@ -123,7 +128,7 @@ def blocks_of(html: str) -> list[Block]:
                     block.pieces.append(" ")
                 continue
             if block is None:
-                block = Block(tags, frame > 0)
+                block = Block(tags, frame > 0, articles[-1] if articles else 0)
                 tags = []
                 out.append(block)
             block.pieces.append(text)
@@ -153,11 +158,13 @@ def blocks_of(html: str) -> list[Block]:
                 if stack[i][0] in BLOCKS:
                     break
             # a header inside an article holds its title
-            framed = is_frame(name, attributes) and not (name == "header" and articles > 0)
+            framed = is_frame(name, attributes) and not (name == "header" and articles)
             stack.append((name, framed))
             frame += framed
             links += name == "a"
-            articles += name in ("article", "main")
+            if name in ("article", "main"):
+                seen += 1
+                articles.append(seen)
             if name == "a" and block is not None and frame and not block.frame:
                 block = None
     return out
@@ -204,6 +211,8 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
 
 
 _OTHER_TAG = -0.1
+#: What a block of the frame costs at most, so that a long advert inside an article doesn't cut it in two.
+FRAME_COST = -3.0
 
 
 def best_region(scores: list[tuple[float, float]]) -> tuple[int, int]:
@@ -229,11 +238,19 @@ def extract(html: str | None) -> str:
     plain, link, frame = word["text"], word.get("link", 0.0), word["frame"]
     scores = []
     for b in blocks:
-        own = frame * b.words if b.frame else plain * (b.words - b.linked) + link * b.linked
+        own = max(frame * b.words, FRAME_COST) if b.frame else plain * (b.words - b.linked) + link * b.linked
         if not b.frame and b.words and b.linked == b.words:
             own = -0.3 * b.words  # nothing but links
         scores.append((sum(tag.get(t, _OTHER_TAG) for t in b.tags), own))
     first, last = best_region(scores)
+    homes: Counter = Counter()
+    for b in blocks[first:last]:
+        if not b.frame:
+            homes[b.home] += b.words
+    home = max(homes, key=homes.__getitem__, default=0)
+    if home:
+        own = [i for i, b in enumerate(blocks) if b.home == home]
+        first, last = min(first, own[0]), max(last, own[-1] + 1)
     texts = (" ".join(unescape("".join(b.pieces)).split()) for b in blocks[first:last] if not b.frame)
     return "\n\n".join(t for t in texts if t)
 
