@@ -81,11 +81,11 @@ def draw(docs: DataFrame, source: str = "source", text: str = "text", doc_id: st
     The shortened text has single spaces between its words. Rows that repeat a
     doc_id must be told apart before; here they would share their draws.
     """
-    take = mix(docs, source, text, doc_id).where("taken > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_key"), "size", "taken")
-    take = take.groupBy("_key", "size").agg(F.max("taken").alias("taken"))
-    own = docs.withColumn("_key", F.coalesce(F.col(doc_id), F.lit(-(1 << 63)).cast("long"))).join(take, "_key")
-    copies = own.withColumn("_words", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size))")))
-    part = F.when(F.col("_words") == F.col("size"), F.col(text)).otherwise(_first_words(F.col(text), F.col("_words")))
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)).cast("long")).alias("_key")
+    take = mix(docs, source, text, doc_id).where("taken > 0").groupBy(key("doc_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+    own = docs.select("*", key(doc_id)).join(take, "_key")
+    copies = own.withColumn("_words", F.explode(F.expr("transform(sequence(0, cast((_taken - 1) div _size as int)), i -> least(_size, _taken - i * _size))")))
+    part = F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(_first_words(F.col(text), F.col("_words")))
     return copies.withColumn(text, part).select(*docs.columns)
 
 
