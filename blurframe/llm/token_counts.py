@@ -134,13 +134,15 @@ class TokenCounter:
         text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if text.isalpha():  # letters alone are one word
             return self.word_memo[text]
+        if text[-1] in ",." and text[:-1].isalpha():  # so is a mark after them
+            return self.word_memo[text[:-1]] + self.word_memo[text[-1]]
         return sum(map(self.word_memo.__getitem__, self.words.findall(text)))
 
     def _run(self, run: str) -> int:
-        """Tokens of a text without white space."""
+        """Tokens of a text without white space, which is not empty."""
         if not any(m in run for m in self.marks):
             return self._plain(run)
-        return len(self.special.findall(run)) + sum(map(self._plain, self.special.split(run)))
+        return len(self.special.findall(run)) + sum(self._plain(t) for t in self.special.split(run) if t)
 
     def count(self, text: str | None) -> int:
         return sum(map(self.run_memo.__getitem__, self.runs.findall(text))) if text else 0
