@@ -76,6 +76,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+def _host_sql(rule: str) -> str:
+    """Lower bound of a host's shrunk failure rate of one rule; ``p`` has the moments of all hosts."""
+    mean = f"least(greatest(m_{rule}, 1e-6), 1 - 1e-6)"
+    noise = f"({mean} * (1 - {mean}))"
+    between = f"((q_{rule} - docs * {mean} * {mean} - (hosts - 1) * {noise}) / docs)"
+    strength = f"(CASE WHEN {between} > 0 THEN least(greatest({noise} / {between} - 1, 2.0), 1000.0) ELSE 1000.0 END)"
+    rate = f"((h.{rule} + {mean} * {strength}) / (n + {strength}))"
+    return f"{rate} - 3.0 * sqrt({rate} * (1 - {rate}) / (n + {strength} + 1))"
+
+
 SQL: dict[str, str] = {
     "op6_decontaminate": r"""
 WITH d AS (
@@ -120,5 +130,35 @@ WITH s AS (
 SELECT doc_id, size, source_size, target,
   CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - earlier)) AS BIGINT) AS taken
 FROM p
+""",
+    "op8_host_quality": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), c AS (
+  SELECT row, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols
+  FROM d
+), l AS (
+  SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}') GROUP BY row
+), win AS (
+  SELECT row, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+), rep AS (
+  SELECT row, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT row, unnest(range(i, i + 8)) AS p FROM (SELECT row, i, count(*) OVER (PARTITION BY row, s) AS times FROM win) WHERE times > 1
+  ) GROUP BY row
+), m AS (
+  SELECT c.*, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM c LEFT JOIN l USING (row) LEFT JOIN rep USING (row)
+), r AS (
+  SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repeat, 100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup_lines FROM m
+), h AS (
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(sum(CAST({r} AS INTEGER)) AS DOUBLE) AS {r}" for r in quality.RULES)} FROM r GROUP BY source
+), p AS (
+  SELECT sum(n) AS docs, count(*) AS hosts, {", ".join(f"sum({r}) / sum(n) AS m_{r}, sum({r} * {r} / n) AS q_{r}" for r in quality.RULES)} FROM h
+), v AS (
+  SELECT source, {" OR ".join(f"{_host_sql(r)} > 0.5" for r in quality.RULES)} AS bad FROM h CROSS JOIN p
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (short OR repeat) AS base_failed, NOT (short OR repeat) AND NOT bad AS kept
+FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source
 """,
 }
