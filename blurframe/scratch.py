@@ -38,15 +38,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Drops an execution's shuffle files when it ends; what it wrote stands in for them.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it.
 
     Cuts the lineage with files that outlive any executor, and fixes values
-    that depend on how rows were dealt out (row ids, partition numbers).
+    that depend on how rows were dealt out (row ids, partition numbers). The
+    shuffle files behind the write are dropped at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
