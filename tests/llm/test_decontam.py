@@ -16,10 +16,11 @@ def slow(texts, items):
     out = []
     for t in texts:
         w, hit, found = words(t), set(), set()
-        for win, names in windows.items():
-            for i in range(len(w) - len(win) + 1):
-                if tuple(w[i : i + len(win)]) == win:
-                    hit.update(range(i, i + len(win)))
+        for size in {len(win) for win in windows}:
+            for i in range(len(w) - size + 1):
+                names = windows.get(tuple(w[i : i + size]))
+                if names:
+                    hit.update(range(i, i + size))
                     found |= names
         out.append((len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
     return out
