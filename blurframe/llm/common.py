@@ -2,84 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that separate words: space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
-#: Rows of a lookup table that may be broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package when it was not installed on them.
-
-    Python workers take ``PYTHONPATH`` from the context's environment; on a
-    cluster the package itself comes with ``--py-files`` or an image.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if root not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, local mode) a folder of its own is
-    made below the warehouse.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from ..scratch import broadcast_if_small, drop_scratch, materialize, n_shuffle, scratch_path, ship, table
 
+__all__ = ["WORD", "broadcast_if_small", "drop_scratch", "lower_ascii", "materialize", "n_shuffle", "scratch_path", "ship", "table"]
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it.
-
-    Cuts the lineage with files that outlive any executor, and fixes values
-    that depend on how rows were dealt out (row ids, partition numbers).
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files behind a frame that :func:`materialize` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {str(Path(f).parent) for f in df.inputFiles()}:
-        name = name.replace("file:/", "file:///", 1) if name.startswith("file:/") else name
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def n_shuffle(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Words between spaces and \t \n \v \f \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a count proves ``df`` small; else leave the join to be shuffled."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import drop_scratch, materialize, ship
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -320,11 +320,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
         for batch in batches:
-            rows, last, left = [], None, None
+            rows, last_a, last_b, left, right = [], None, None, None, None
+            # rows come in the order of the last join, so a text is often hashed for several pairs at once
             for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"]):
-                if a != last:
-                    last, left = a, shingle_hashes(word_hashes(x, memo))
-                for i, i2, j, j2, s in chains(left, shingle_hashes(word_hashes(y, memo))):
+                if a != last_a:
+                    last_a, left = a, shingle_hashes(word_hashes(x, memo))
+                if b != last_b:
+                    last_b, right = b, shingle_hashes(word_hashes(y, memo))
+                for i, i2, j, j2, s in chains(left, right):
                     rows.append((a, b, i, i2 - i + SHINGLE - 1, j, j2 - j + SHINGLE - 1, s))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGE_SCHEMA.split(", ")])
 
@@ -346,23 +349,29 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     copies = roots.join(firsts, "sig").where("a <> doc_id").select("a", F.col("doc_id").alias("b"), size.alias("n")).distinct()
     zero = F.lit(0).cast("long")
     copies = copies.select("a", "b", zero.alias("start_a"), F.col("n").alias("words_a"), zero.alias("start_b"), F.col("n").alias("words_b"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"))
+    copies = materialize(copies, "copies")
 
     # min-hashes that two different texts have
     shared = every.groupBy("value").agg(F.min("sig").alias("s"), F.max("sig").alias("t")).where("s <> t").select("value")
     members = every.select("value", "sig", "doc_id", "span", "c", "beside").join(shared, "value")
-    members = members.groupBy("value", "sig", "c").agg(F.min(F.struct("doc_id", "span", "beside")).alias("m")).select("value", "c", "m.*")
+    # a line that a text repeats gives windows with the same surroundings; one of them, with the widest reach, stands for all
+    left, right = F.max(F.shiftright("span", 16)), F.max(F.col("span").bitwiseAND(F.lit(65535)))
+    members = members.groupBy("value", "sig", "beside").agg(F.min("doc_id").alias("doc_id"), F.min("c").alias("c"), (left * 65536 + right).alias("span")).drop("sig")
     members = materialize(members, "members")
+    drop_scratch(every)
 
     small, large = _split(members, ["value"])
     found, crowd, rest = [_pairs(small, ["value"])], None, None
     if not large.isEmpty():
         crowd = materialize(large, "large")
         word = lambda at: F.shiftrightunsigned("beside", at).bitwiseAND(F.lit(65535))
-        own = crowd.select("value", "doc_id", "span", "beside", F.explode(F.array(word(0), word(16) + 65536)).alias("side"))
+        own = crowd.select("value", "doc_id", "span", "c", "beside", F.explode(F.array(word(0), word(16) + 65536)).alias("side"))
         small, large = _split(own.where("side % 65536 <> 0"), ["value", "side"])
         found.append(_pairs(small, ["value", "side"]))
+        # equal passages agree on 8 words of one side at least: who is in no large part has been paired, or is alone
+        crowd = large = materialize(large.select("value", "doc_id", "span", "c", "beside").distinct(), "core")
         wide = F.array(word(0) * 65536 + word(16), word(32) + (1 << 33), word(48) + (1 << 34))
-        own = large.select("value", "doc_id", "span", "beside").distinct().select("value", "doc_id", "span", F.explode(wide).alias("side"))
+        own = large.select("value", "doc_id", "span", F.explode(wide).alias("side"))
         small, large = _split(own.where(F.col("side").bitwiseAND(F.lit(65535)) != 0), ["value", "side"])
         found.append(_pairs(small, ["value", "side"]))
         rest = materialize(large.select("value", "side", "doc_id").distinct(), "rest")
@@ -383,7 +392,7 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     texts = materialize(near.join(named, "doc_id", "left_semi"), "texts")
 
     if crowd is not None:
-        filed = exact_runs(crowd.select("doc_id", "c"), texts)
+        filed = materialize(exact_runs(crowd.select("doc_id", "c"), texts), "filed")
         pairs = pairs.unionByName(_star(filed, ["key"]).select("a", "b")).distinct()
     passages = materialize(verify(pairs, texts), "passages")
     if rest is not None:
