@@ -23,21 +23,25 @@ doc_id comes first; an empty table gives no shards and an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import elias_fano
 from .common import materialize, n_shuffle, scratch_path, ship
+from .token_counts import byte_symbols
 
 END_ID = 0
 MAGIC = b"EFTOK1\0\0"
@@ -47,12 +51,36 @@ _HEAD = struct.Struct("<8sBQQQ")
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that the tokenizer's pattern never joins or splits differently: a run without white space with the space before it, or white space.
 _PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+# Fixed value: the pattern of byte-level pre-tokenization.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _MEMO_ENTRIES = 400_000
 _MEMO_CHARS = 48
 
 
+class _Memo(dict):
+    """Values made on first use; long keys are not kept, and a full memo starts anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= _MEMO_CHARS:
+            if len(self) > _MEMO_ENTRIES:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a memo of the pieces between spaces."""
+    """Ids of whole texts by the tokenizers library, with a memo of the pieces between spaces.
+
+    For a byte-level vocabulary without a normalizer, pieces are cut by the
+    fixed pattern and each distinct word is given to the library's model once.
+    Any other vocabulary, and any text that holds a special token, is encoded
+    whole by the library's tokenizer.
+    """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
@@ -60,32 +88,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = "<u2" if width == 2 else "<u4"
+        self.model = self.tokenizer.model
+        self.code = "H" if width == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        self.plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer")
+        self.symbols = {i: c for i, c in enumerate(byte_symbols())}
+        self.pieces, self.words = _Memo(self._piece), _Memo(self._word)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.symbols))])
+
+    def _piece(self, piece: str) -> bytes:
+        body = piece[1:] if piece[0] == " " else piece
+        # letters, and letters with one mark after them, need no pattern
+        if body.isalpha():
+            return self._word(piece)
+        if body[-1:] in (",", ".") and body[:-1].isalpha():
+            return self.words[piece[:-1]] + self.words[body[-1]]
+        return b"".join(map(self.words.__getitem__, _PATTERN.findall(piece)))
 
     def encode(self, text: str) -> bytes:
         # a special token cuts the text before the pattern is applied, so its neighbours are not pieces of their own
-        if any(s in text for s in self.special):
-            return self._ids(text)
-        pieces, memo = _PIECE.findall(text), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(memo) > _MEMO_ENTRIES:
-            memo.clear()
-        new = [p for p in set(pieces) if p not in memo]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[p] = np.array(e.ids, dtype=self.kind).tobytes()
-        out = b"".join(map(memo.__getitem__, pieces))
-        for p in new:
-            if len(p) > _MEMO_CHARS:
-                del memo[p]
-        return out
+        if not self.plain or any(s in text for s in self.special):
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
 
 def encoder(path: str, width: int) -> Encoder:
