@@ -25,8 +25,8 @@ their shingles is 0.8 or more.
    and compared with the first text filed there. So the work grows with the
    windows, not with the square of a group, and no equal passage is lost.
 5. Candidates are verified on the texts: runs of shingles in the same order
-   are chained over small gaps, and the chain must reach the length and the
-   similarity.
+   are chained, and the longest parts of the chain that reach the length and
+   the similarity are the passages. A passage begins and ends with equal words.
 
 The result has pairs between texts that differ (with the passage in both) and,
 for texts with equal words, each copy with the first document.
@@ -53,11 +53,12 @@ MIN_WORDS = 50
 SIMILARITY = 0.8
 HASHES = 2
 PAIRS = 8
-#: Words between chained runs at most: what ten changed words in a row leave.
-GAP = 15
 #: Values of the fixed-size prefilter of texts that are fetched for verification.
 FETCH_BUCKETS = 1 << 17
 _LENGTH = MIN_WORDS - SHINGLE + 1
+#: Shingles that two passages share at least: s / (2 * _LENGTH - s) >= SIMILARITY.
+_SHARED = -(-8 * _LENGTH // 9)
+_NONE = -(1 << 60)
 _MEMO_ENTRIES = 200_000
 _PRIME = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
@@ -212,8 +213,8 @@ def _star(members: DataFrame, keys: list[str]) -> DataFrame:
     return members.join(first, keys).where("a <> doc_id").select(*keys, "a", F.col("doc_id").alias("b"))
 
 
-def chains(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """Near-duplicate passages of two rows of shingle hashes: (start in a, end, start in b, end, similarity)."""
+def chains(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """Near-duplicate passages of two texts with shingle hashes a, b and words x, y: (start in a, end, start in b, end, similarity)."""
     if not len(a) or not len(b):
         return []
     order = np.argsort(b, kind="stable")
@@ -221,7 +222,7 @@ def chains(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float
     place = order[at]
     same = b[place] == a
     where = np.flatnonzero(same)
-    if len(where) < _LENGTH * SIMILARITY:
+    if len(where) < _SHARED:
         return []
     # a run goes on where the next shingle of a stands next in b, even if b also has it before
     there = place[where]
@@ -230,64 +231,104 @@ def chains(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float
     cut[1:] = ~follows
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(where))
-    runs = [[int(where[s]), int(there[s]), int(e - s)] for s, e in zip(starts, ends)]
     # a repeated shingle leads to its first place in b; runs are drawn out both ways as far as the texts agree
-    for r in runs:
-        i, j, n = r
+    runs, reach = [], {}
+    for s, e in zip(starts, ends):
+        i, j, n = int(where[s]), int(there[s]), int(e - s)
+        if i + n <= reach.get(i - j, -1):
+            continue  # inside a run before
         while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
             n += 1
         while i and j and a[i - 1] == b[j - 1]:
             i, j, n = i - 1, j - 1, n + 1
-        r[:] = i, j, n
+        reach[i - j] = i + n
+        runs.append((i, j, n))
     out: list[tuple[int, int, int, int, float]] = []
-    chain: list[list[int]] = []
+    for chain in _paths(sorted(runs), min(len(a), len(b)) // 4):
+        _parts(chain, x, y, out)
+    return out
 
-    def close() -> None:
-        _best(chain, out)
-        chain.clear()
 
-    reach = -1
-    for r in runs:
-        if r[0] + r[2] <= reach:
-            continue  # inside a run before
-        if chain:
-            p = chain[-1]
-            gap_a, gap_b = r[0] - p[0] - p[2], r[1] - p[1] - p[2]
-            if not (0 <= gap_a <= GAP and 0 <= gap_b <= GAP):
-                close()
-        chain.append(r)
-        reach = max(reach, r[0] + r[2])
-    close()
+def _paths(runs: list[tuple[int, int, int]], most: int) -> list[np.ndarray]:
+    """Runs (start in a, in b, length) chained in the order of both texts, over gaps of up to ``most`` shingles in sum."""
+    if len(runs) == 1:
+        return [np.array(runs)]
+    r = np.array(runs)
+    i, j, n = r.T
+    score, before, trim = n.astype(np.int64), np.full(len(r), -1), np.zeros(len(r), dtype=np.int64)
+    for k in range(1, len(r)):
+        gap_a, gap_b = i[k] - i[:k] - n[:k], j[k] - j[:k] - n[:k]
+        over = np.maximum(0, -np.minimum(gap_a, gap_b))  # repeated words beside a change: the run is cut to where the one before ends
+        gaps = gap_a + gap_b + 2 * over
+        gain = np.where((over < n[k]) & (gaps <= most) & (j[:k] < j[k]), score[:k] - 4 * gaps - over, _NONE)
+        best = int(gain.argmax())
+        if gain[best] > _NONE:
+            before[k], trim[k] = best, over[best]
+            score[k] += max(0, gain[best])
+    out, used = [], np.zeros(len(r), dtype=bool)
+    # from the last runs of chains, the best first
+    for k in np.lexsort((-score, np.isin(np.arange(len(r)), before))):
+        path = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            path.append(k)
+            k = before[k]
+        if path:
+            path = np.array(path[::-1])
+            cut = np.where(np.arange(len(path)) > 0, trim[path], 0)
+            out.append(np.stack([i[path] + cut, j[path] + cut, n[path] - cut], axis=1))
     return out
 
 
-def _best(chain: list[list[int]], out: list[tuple[int, int, int, int, float]]) -> None:
-    """Passages of one chain of runs: its best-scoring parts that are long and similar enough."""
-    if not chain:
-        return
-    best, found, total, first = 0.0, None, 0.0, 0
-    for i, (a, b, n) in enumerate(chain):
-        if i > first:
-            gap = max(a - chain[i - 1][0] - chain[i - 1][2], b - chain[i - 1][1] - chain[i - 1][2])
-            total -= 4 * gap
-        if total <= 0:
-            total, first = 0.0, i
-        total += n
-        if total > best:
-            best, found = total, (first, i)
-    lo, hi = found
-    start_a, start_b = chain[lo][0], chain[lo][1]
-    end_a, end_b = chain[hi][0] + chain[hi][2], chain[hi][1] + chain[hi][2]
-    shared = sum(n for _, _, n in chain[lo : hi + 1])
-    alike = shared / max(end_a - start_a + end_b - start_b - shared, 1)
-    if min(end_a - start_a, end_b - start_b) >= _LENGTH and alike >= SIMILARITY:
-        out.append((start_a, end_a, start_b, end_b, min(1.0, alike)))
-    elif hi > lo:
-        for r in chain[lo : hi + 1]:
-            if r[2] >= _LENGTH:
-                out.append((r[0], r[0] + r[2], r[1], r[1] + r[2], 1.0))
-    _best(chain[:lo], out)
-    _best(chain[hi + 1 :], out)
+def _parts(chain: np.ndarray, x: np.ndarray, y: np.ndarray, out: list[tuple[int, int, int, int, float]]) -> None:
+    """Passages of one chain: its longest part that is long and similar enough, then those on both sides of it."""
+    sums = np.concatenate([[0], np.cumsum(chain[:, 2])])
+    todo = [(0, len(chain))]
+    while todo:
+        lo, hi = todo.pop()
+        if sums[hi] - sums[lo] < _SHARED:
+            continue
+        best, found = 0, None
+        for s in range(lo, hi):
+            shared = sums[s + 1 : hi + 1] - sums[s]
+            if shared[-1] < _SHARED:
+                break
+            size_a = chain[s:hi, 0] + chain[s:hi, 2] - chain[s, 0]
+            size_b = chain[s:hi, 1] + chain[s:hi, 2] - chain[s, 1]
+            short = np.minimum(size_a, size_b) < _LENGTH
+            # shared / union >= 0.8
+            good = (9 * shared >= 4 * (size_a + size_b)) & (shared >= _SHARED)
+            for e in np.flatnonzero(good & short):
+                i, j = int(chain[s, 0]), int(chain[s, 1])
+                part = _edges((i, i + int(size_a[e]), j, j + int(size_b[e])), int(shared[e]), x, y)
+                if part and part[1] - part[0] + part[3] - part[2] > best:
+                    best, found = part[1] - part[0] + part[3] - part[2], (s, s + int(e) + 1, part, int(shared[e]))
+            size = np.where(good & ~short, size_a + size_b, 0)
+            e = int(size.argmax())
+            if size[e] > best:
+                i, j = int(chain[s, 0]), int(chain[s, 1])
+                best, found = int(size[e]), (s, s + e + 1, (i, i + int(size_a[e]), j, j + int(size_b[e])), int(shared[e]))
+        if found:
+            s, e, part, shared = found
+            out.append((*part, min(1.0, shared / (best - shared))))
+            todo += [(lo, s), (e, hi)]
+
+
+def _edges(part: tuple[int, int, int, int], shared: int, x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int] | None:
+    """A part that is too short, drawn over a change near its ends to equal words beyond it; None if it stays too short."""
+    i, i2, j, j2 = part
+    spare = 9 * shared // 4 - (i2 - i) - (j2 - j)
+    steps = [(p, q) for p in range(1, spare) for q in range(1, spare - p + 1)]
+    end_a, end_b = i2 + SHINGLE - 2, j2 + SHINGLE - 2
+    left = [(0, 0)] + [(p, q) for p, q in steps if p <= i and q <= j and x[i - p] == y[j - q]]
+    right = [(0, 0)] + [(p, q) for p, q in steps if end_a + p < len(x) and end_b + q < len(y) and x[end_a + p] == y[end_b + q]]
+    fits = [
+        (p + q + u + v, (i - p, i2 + u, j - q, j2 + v))
+        for p, q in left
+        for u, v in right
+        if p + q + u + v <= spare and min(i2 - i + p + u, j2 - j + q + v) >= _LENGTH
+    ]
+    return min(fits)[1] if fits else None
 
 
 def exact_runs(centres: DataFrame, texts: DataFrame) -> DataFrame:
@@ -320,14 +361,16 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
         for batch in batches:
-            rows, last_a, last_b, left, right = [], None, None, None, None
+            rows, last_a, last_b = [], None, None
             # rows come in the order of the last join, so a text is often hashed for several pairs at once
             for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"]):
                 if a != last_a:
-                    last_a, left = a, shingle_hashes(word_hashes(x, memo))
+                    last_a, words_a = a, word_hashes(x, memo)
+                    left = shingle_hashes(words_a)
                 if b != last_b:
-                    last_b, right = b, shingle_hashes(word_hashes(y, memo))
-                for i, i2, j, j2, s in chains(left, right):
+                    last_b, words_b = b, word_hashes(y, memo)
+                    right = shingle_hashes(words_b)
+                for i, i2, j, j2, s in chains(left, right, words_a, words_b):
                     rows.append((a, b, i, i2 - i + SHINGLE - 1, j, j2 - j + SHINGLE - 1, s))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGE_SCHEMA.split(", ")])
 

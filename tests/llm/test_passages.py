@@ -82,3 +82,27 @@ def test_repeats_within_a_document(docs):
     rows = passages.repeated_passages(docs([" ".join(t) for t in texts])).collect()
     assert {(r["a"], r["b"]) for r in rows} == {(0, 1)}
     assert passages.repeated_passages(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("change", ["substitute", "insert", "delete"])
+def test_one_change_anywhere(change):
+    """Passages of 50 to 100 words with a change at every place are verified as the similarity of their shingles says."""
+    wrong = []
+    for n in range(50, 101, 5):
+        for at in range(1, n - 1):
+            a = [f"p{i}" for i in range(n)]
+            b = a[:at] + {"substitute": ["new"], "insert": ["new", a[at]], "delete": []}[change] + a[at + 1 :]
+            x, y = (passages.word_hashes(" ".join([f"{s}{i}" for i in range(30)] + t + [f"{s}{i}" for i in range(30, 60)]).encode(), passages.WordHashes()) for s, t in (("l", a), ("r", b)))
+            # by brute force: every pair of parts of 50 words or more that begin and end with equal words
+            def similar(lo, hi):
+                p = a[lo:hi]
+                q = b[b.index(p[0]) : b.index(p[-1]) + 1]
+                sp, sq = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (p, q))
+                return min(len(p), len(q)) >= 50 and len(sp & sq) >= 0.8 * len(sp | sq)
+
+            ends = [i for i in range(n) if a[i] in b]
+            expected = any(similar(lo, hi + 1) for lo in ends[:12] for hi in ends[-12:])
+            found = passages.chains(passages.shingle_hashes(x), passages.shingle_hashes(y), x, y)
+            if bool(found) != expected:
+                wrong.append((n, at, expected))
+    assert wrong == []
