@@ -17,13 +17,10 @@ their shingles is 0.8 or more.
    that a near duplicate needs (interval join).
 4. A min-hash with up to ``PAIRS`` texts is joined pair by pair. A larger
    group is split by the words beside the centre (8 to the left; 8 to the
-   right) and, if a part is still large, by longer contexts (both; 32 to the
-   left; 32 to the right), whose texts are compared with their first text and
-   then, where that one has nothing in common with them, with the first of the
-   others. Equal passages do not depend on that: in large groups each text is
-   also filed under the hash of every run of 50 words that holds the centre,
-   and compared with the first text filed there. So the work grows with the
-   windows, not with the square of a group, and no equal passage is lost.
+   right). In a part that is still large, every two members whose surroundings
+   share enough shingles are compared, rare shingles leading to them, unless
+   they are linked already through others at the same place. So a crowd is
+   linked throughout, by about one pair a member.
 5. Candidates are verified on the texts: runs of shingles in the same order
    are chained, and the longest parts of the chain that reach the length and
    the similarity are the passages. A passage begins and ends with equal words.
@@ -53,6 +50,10 @@ MIN_WORDS = 50
 SIMILARITY = 0.8
 HASHES = 2
 PAIRS = 8
+#: Shingles on both sides of a centre: a passage of up to twice the least length that holds it.
+AROUND = 2 * (MIN_WORDS - SHINGLE + 1) - 1
+#: Members of a large group that one task holds.
+BLOCK = 1 << 15
 #: Values of the fixed-size prefilter of texts that are fetched for verification.
 FETCH_BUCKETS = 1 << 17
 _LENGTH = MIN_WORDS - SHINGLE + 1
@@ -207,12 +208,6 @@ def _pairs(members: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
-def _star(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (a, b) of each group's first text with its others."""
-    first = members.groupBy(*keys).agg(F.min("doc_id").alias("a"))
-    return members.join(first, keys).where("a <> doc_id").select(*keys, "a", F.col("doc_id").alias("b"))
-
-
 def chains(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two texts with shingle hashes a, b and words x, y: (start in a, end, start in b, end, similarity)."""
     if not len(a) or not len(b):
@@ -331,25 +326,141 @@ def _edges(part: tuple[int, int, int, int], shared: int, x: np.ndarray, y: np.nd
     return min(fits)[1] if fits else None
 
 
-def exact_runs(centres: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, doc_id): the hash of every run of ``MIN_WORDS`` words around ``centres(doc_id, c)``."""
+def surroundings(centres: DataFrame, texts: DataFrame) -> DataFrame:
+    """(value, doc_id, at, words): 32-bit hashes of the words around ``centres(value, doc_id, c, span)``, as far as their windows and ``AROUND`` go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
         for batch in batches:
-            keys, names = [], []
-            for doc, text, at in zip(batch["doc_id"], batch["text"], batch["at"]):
-                hashes = _mix(_runs(word_hashes(text, memo), MIN_WORDS)).view(np.int64)
-                starts = np.unique((np.asarray(at, dtype=np.int64)[:, None] - np.arange(_LENGTH)[None, :]).reshape(-1))
-                starts = starts[(starts >= 0) & (starts < len(hashes))]
-                keys.append(np.unique(hashes[starts]))
-                names.append(np.full(len(keys[-1]), doc, dtype=np.int64))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(names)})
-
-    # a text has few centres: at most two for each length of a passage in it
-    own = centres.groupBy("doc_id").agg(F.collect_set("c").alias("at"))
-    return texts.join(own, "doc_id").select("doc_id", "text", "at").mapInPandas(run, "key long, doc_id long")
+            rows = []
+            for doc, text, own in zip(batch["doc_id"], batch["text"], batch["own"]):
+                words = (word_hashes(text, memo) >> np.uint64(32)).astype(np.uint32)
+                for r in own:
+                    lo, hi = max(r["c"] - min(r["span"] >> 16, AROUND), 0), r["c"] + min(r["span"] & 65535, AROUND) + SHINGLE
+                    rows.append((r["value"], doc, r["c"] - lo, words[lo:hi].tobytes()))
+            yield pd.DataFrame(rows, columns=["value", "doc_id", "at", "words"])
+
+    own = centres.groupBy("doc_id").agg(F.collect_list(F.struct("value", "c", "span")).alias("own"))
+    return texts.join(own, "doc_id").select("doc_id", "text", "own").mapInPandas(run, "value long, doc_id long, at int, words binary")
+
+
+def crowd_links(docs: np.ndarray, at: np.ndarray, around: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs (a, b) of texts by which every near-duplicate passage around one min-hash is linked.
+
+    Members are tried with each other unless they are linked already. Passages
+    share ``_SHARED`` shingles, so of each member's shingles, the rarest in the
+    crowd first, all but ``_SHARED - 1`` lead to every partner; a common line
+    that is too short leads nowhere.
+    """
+    order = np.lexsort((at, docs))
+    docs, at = docs[order], at[order]
+    words = [np.frombuffer(around[i], dtype=np.uint32).astype(np.uint64) for i in order]
+    flat = np.concatenate(words)
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    if len(flat) < SHINGLE:
+        return []
+    tokens = shingle_hashes(flat)
+    whole = owner[: len(tokens)] == owner[SHINGLE - 1 :]
+    tokens, owner = tokens[whole], owner[: len(tokens)][whole]
+    bounds = np.searchsorted(owner, np.arange(len(words) + 1))
+    own = [tokens[bounds[i] : bounds[i + 1]] for i in range(len(words))]
+
+    # a shingle that a member repeats counts as often as it stands there
+    by = np.lexsort((tokens, owner))
+    t, o = tokens[by], owner[by]
+    new = np.ones(len(t), dtype=bool)
+    new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+    begin = np.flatnonzero(new)
+    nth = np.arange(len(t)) - np.repeat(begin, np.diff(np.append(begin, len(t))))
+    key = np.unique(_mix(t + nth.astype(np.uint64) * _PRIME[1]), return_inverse=True)[1]
+    while True:
+        often = np.bincount(key)[key]
+        enough = np.bincount(o[often > 1], minlength=len(words)) >= _SHARED
+        keep = (often > 1) & enough[o]
+        if keep.all():
+            break
+        key, o = key[keep], o[keep]
+        if not len(key):
+            return []
+
+    by = np.lexsort((key, often, o))
+    key, o = key[by], o[by]
+    size = np.bincount(o, minlength=len(words))
+    first = np.cumsum(size) - size
+    rank = np.arange(len(o)) - first[o]
+    table = np.full((len(words), int(size.max())), key.max() + 1, dtype=np.int32)
+    table[o, rank] = key
+    lead = rank <= size[o] - _SHARED
+    by = np.lexsort((o[lead], key[lead]))
+    key, o = key[lead][by], o[lead][by]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    length = np.diff(np.append(start, len(key)))
+
+    root = np.arange(len(words))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
+    pairs: set[tuple[int, int]] = set()
+    mark = np.zeros(int(table.max()) + 1, dtype=bool)
+
+    def attempt(x: int, others: np.ndarray) -> None:
+        others = others[docs[others] != docs[x]]
+        mark[table[x, : size[x]]] = True
+        others = others[mark[table[others]].sum(axis=1) >= _SHARED]
+        mark[table[x, : size[x]]] = False
+        for y in others.tolist():
+            p, q = find(x), find(y)
+            if p == q:
+                continue
+            met = chains(own[y], own[x], words[y], words[x])
+            if met:
+                pairs.add((int(docs[y]), int(docs[x])))
+            # linked at this place: a passage that holds both centres
+            if any(i <= at[y] < i2 and j <= at[x] < j2 for i, i2, j, j2, _ in met):
+                root[max(p, q)] = min(p, q)
+
+    # first with the first of each shingle, which links most of a crowd of near copies
+    head = np.repeat(o[start], length)
+    codes, n = np.unique(o[o != head] * len(words) + head[o != head], return_counts=True)
+    x, y = codes // len(words), codes % len(words)
+    by = np.lexsort((y, -n, x))
+    x, y = x[by], y[by]
+    top = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    for i in top:
+        attempt(int(x[i]), y[i : i + 1])
+    # then everyone with everyone before it that is not linked to it
+    name = np.array([find(i) for i in range(len(words))])
+    apart = np.minimum.reduceat(name[o], start) != np.maximum.reduceat(name[o], start)
+    groups: dict[int, list[np.ndarray]] = {}
+    for g in np.flatnonzero(apart):
+        part = o[start[g] : start[g] + length[g]]
+        for m in range(1, len(part)):
+            groups.setdefault(int(part[m]), []).append(part[:m])
+    for x in sorted(groups):
+        others = np.unique(np.concatenate(groups[x]))
+        mine = find(x)
+        attempt(x, np.array([y for y in others.tolist() if find(y) != mine], dtype=np.int64))
+    return sorted(pairs)
+
+
+def _linked(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link the members of large groups ``crowd(value, doc_id, c, span)``."""
+    sizes = crowd.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # beyond a block, every two blocks of a group meet
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = surroundings(crowd, texts).join(sizes, "value").withColumn("mine", mine).withColumn("other", other)
+    dealt = dealt.select("value", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "doc_id", "at", "words")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = crowd_links(group["doc_id"].to_numpy(), group["at"].to_numpy(), group["words"].tolist())
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("value", "low", "high").applyInPandas(run, "a long, b long")
 
 
 PASSAGE_SCHEMA = "a long, b long, start_a long, words_a long, start_b long, words_b long, similarity double"
@@ -404,21 +515,14 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     drop_scratch(every)
 
     small, large = _split(members, ["value"])
-    found, crowd, rest = [_pairs(small, ["value"])], None, None
+    found, crowd = [_pairs(small, ["value"])], None
     if not large.isEmpty():
         crowd = materialize(large, "large")
         word = lambda at: F.shiftrightunsigned("beside", at).bitwiseAND(F.lit(65535))
         own = crowd.select("value", "doc_id", "span", "c", "beside", F.explode(F.array(word(0), word(16) + 65536)).alias("side"))
         small, large = _split(own.where("side % 65536 <> 0"), ["value", "side"])
         found.append(_pairs(small, ["value", "side"]))
-        # equal passages agree on 8 words of one side at least: who is in no large part has been paired, or is alone
-        crowd = large = materialize(large.select("value", "doc_id", "span", "c", "beside").distinct(), "core")
-        wide = F.array(word(0) * 65536 + word(16), word(32) + (1 << 33), word(48) + (1 << 34))
-        own = large.select("value", "doc_id", "span", F.explode(wide).alias("side"))
-        small, large = _split(own.where(F.col("side").bitwiseAND(F.lit(65535)) != 0), ["value", "side"])
-        found.append(_pairs(small, ["value", "side"]))
-        rest = materialize(large.select("value", "side", "doc_id").distinct(), "rest")
-        found.append(_star(rest, ["value", "side"]).select("a", "b"))
+        crowd = materialize(large.select("value", "doc_id", "span", "c").distinct(), "core")
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
@@ -435,12 +539,6 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     texts = materialize(near.join(named, "doc_id", "left_semi"), "texts")
 
     if crowd is not None:
-        filed = materialize(exact_runs(crowd.select("doc_id", "c"), texts), "filed")
-        pairs = pairs.unionByName(_star(filed, ["key"]).select("a", "b")).distinct()
-    passages = materialize(verify(pairs, texts), "passages")
-    if rest is not None:
-        star = _star(rest, ["value", "side"])
-        left = star.join(passages.select("a", "b").distinct(), ["a", "b"], "left_anti").select("value", "side", F.col("b").alias("doc_id"))
-        again = _star(left, ["value", "side"]).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        passages = passages.unionByName(verify(again, texts))
+        pairs = materialize(pairs.unionByName(_linked(crowd, texts)).distinct(), "linked")
+    passages = verify(pairs, texts)
     return passages.withColumn("kind", F.lit("passage")).unionByName(copies)

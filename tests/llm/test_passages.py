@@ -106,3 +106,18 @@ def test_one_change_anywhere(change):
             if bool(found) != expected:
                 wrong.append((n, at, expected))
     assert wrong == []
+
+
+@pytest.mark.parametrize("block", [64, 1 << 15])
+def test_near_links_in_a_crowd(docs, monkeypatch, block):
+    """Texts are linked that are near each other only, not near the first texts of their crowd, and have no 50 equal words."""
+    monkeypatch.setattr(passages, "BLOCK", block, raising=False)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(96)]
+    beside = lambda: words(rng, 30, 10**9)
+    quotes = [beside() + passage[i : i + 40] + beside() for i in range(57) for _ in range(3)]
+    near = [beside() + passage[:i] + beside()[:1] + passage[i + 1 :] + beside() for i in (46, 47, 48, 49) * 4]
+    rows = passages.repeated_passages(docs([" ".join(t) for t in quotes + near])).collect()
+    find = linked(rows)
+    assert len({find(171 + i) for i in range(16)}) == 1
+    assert {x for r in rows for x in (r["a"], r["b"])} == set(range(171, 187))
