@@ -16,11 +16,10 @@ their shingles is 0.8 or more.
 3. Joined windows must overlap, with their centres aligned, over the length
    that a near duplicate needs (interval join).
 4. A min-hash with up to ``PAIRS`` texts is joined pair by pair. A larger
-   group is split by the words beside the centre (8 to the left; 8 to the
-   right). In a part that is still large, every two members whose surroundings
-   share enough shingles are compared, rare shingles leading to them, unless
-   they are linked already through others at the same place. So a crowd is
-   linked throughout, by about one pair a member.
+   group is a crowd: every two members whose surroundings share enough shingles
+   are compared, rare shingles leading to them, unless they are linked already
+   through others at the same place. So a crowd is linked throughout, by about
+   one pair a member, whatever words stand beside the centre.
 5. Candidates are verified on the texts: runs of shingles in the same order
    are chained, and the longest parts of the chain that reach the length and
    the similarity are the passages. A passage begins and ends with equal words.
@@ -515,18 +514,10 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     drop_scratch(every)
 
     small, large = _split(members, ["value"])
-    found, crowd = [_pairs(small, ["value"])], None
+    crowd = None
     if not large.isEmpty():
-        crowd = materialize(large, "large")
-        word = lambda at: F.shiftrightunsigned("beside", at).bitwiseAND(F.lit(65535))
-        own = crowd.select("value", "doc_id", "span", "c", "beside", F.explode(F.array(word(0), word(16) + 65536)).alias("side"))
-        small, large = _split(own.where("side % 65536 <> 0"), ["value", "side"])
-        found.append(_pairs(small, ["value", "side"]))
-        crowd = materialize(large.select("value", "doc_id", "span", "c").distinct(), "core")
-    pairs = found[0]
-    for f in found[1:]:
-        pairs = pairs.unionByName(f)
-    pairs = materialize(pairs.distinct(), "pairs")
+        crowd = materialize(large.select("value", "doc_id", "span", "c"), "crowd")
+    pairs = materialize(_pairs(small, ["value"]).distinct(), "pairs")
 
     # texts that may be compared; the prefilter has a fixed size and only saves shuffling texts that are in no pair
     named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))

@@ -121,3 +121,21 @@ def test_near_links_in_a_crowd(docs, monkeypatch, block):
     find = linked(rows)
     assert len({find(171 + i) for i in range(16)}) == 1
     assert {x for r in rows for x in (r["a"], r["b"])} == set(range(171, 187))
+
+
+def test_changes_on_both_sides_in_a_crowd(docs):
+    """Near texts with a changed word within 8 words of the shared min-hash, on both sides, are linked in a crowd too."""
+    rng = random.Random(7)
+    hashes = lambda t: passages.shingle_hashes(passages.word_hashes(" ".join(t).encode(), passages.WordHashes()))
+    tries = words(rng, 200000, 10**9)
+    at = int(hashes(tries).argmin())
+    centre = tries[at : at + 5]
+    texts = []
+    for i in range(10):
+        sides = [[f"{s}{i}x{j}" for j in range(n)] for s, n in (("a", 41), ("b", 3), ("c", 3), ("d", 41))]
+        for _ in range(2):
+            a, b, c, d = sides
+            texts.append(a + words(rng, 1, 10**9) + b + centre + c + words(rng, 1, 10**9) + d)
+    assert all(hashes(t).min() == hashes(centre)[0] for t in texts)
+    rows = passages.repeated_passages(docs([" ".join(t) for t in texts]), 1).collect()
+    assert {(r["a"], r["b"]) for r in rows} == {(2 * i, 2 * i + 1) for i in range(10)}
