@@ -480,14 +480,14 @@ def merge_quick(spark, sf_dir):
 @query()
 def merge_gain_rounds(spark, sf_dir):
     f, e = _classes(spark, sf_dir)
-    return merge.merge_rounds(e, f.schema, f.hierarchies, Params(k=10, rd=0.6, max_merges=50), domains(e, f.schema), max_rounds=3).select("row_id", "group_id")
+    return merge.merge_rounds(e, f.schema, f.hierarchies, Params(k=10, rd=0.6, max_merges=50), domains(e, f.schema)).select("row_id", "group_id")
 
 
 @query()
 def pipeline_rt(spark, sf_dir):
     """Cluster, merge, generalize, anonymize items; a formatted row each."""
     f = fixture.load(spark, sf_dir)
-    done = pipeline.anonymize(f.encoded.drop("group_id"), f.schema, f.hierarchies, Params(k=10, m=M, rd=0.3), merging="quick", max_rounds=2)
+    done = pipeline.anonymize(f.encoded.drop("group_id"), f.schema, f.hierarchies, Params(k=10, m=M, rd=0.3), merging="quick")
     return format_rows(decode(done.rows, f.schema, f.hierarchies), f.schema)
 
 

@@ -19,3 +19,14 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["pipeline_rt", "merge_gain_rounds"])
+def test_merging_ends_by_its_own_rules(spark, sf_dir, monkeypatch, name):
+    """The queries leave the number of merge rounds to the operator."""
+    seen = []
+    for f in ("quick_merge", "merge_rounds"):
+        own = getattr(queries.merge, f)
+        monkeypatch.setattr(queries.merge, f, lambda *a, own=own, **k: seen.append(k.get("max_rounds")) or own(*a, **k))
+    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+    assert seen == [None]
