@@ -9,7 +9,7 @@ from .common import drop_scratch, materialize
 
 
 def connected_components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
+    """(node, root) for every node of ``edges(a, b)`` that is not a root itself; root is the smallest node reachable.
 
     Alternates two contractions until nothing changes: every node hangs its
     larger neighbours on the smallest node it sees, then its smaller ones.

@@ -2,34 +2,43 @@
 
 A passage is 50 words or more. Its tokens are the hashes of its five-word
 shingles; two passages are near duplicates when the Jaccard similarity of
-their shingles is 0.8 or more.
-
-1. For each of ``HASHES`` hash functions, the Cartesian tree over a text's
-   shingle hashes gives compact windows (l, c, r): every subsequence of [l, r]
-   that holds c has the min-hash of place c. Only nodes whose window is as
-   long as a passage are made, about two in each passage's length.
-2. Windows are joined on hash function and min-hash. Windows of texts with
-   equal words are one; min-hashes of one text only are dropped. Equal
-   passages share their min-hash for certain; passages at similarity s share
-   it with probability s per hash, and longer ones are tried at each of their
-   parts.
-3. Joined windows must overlap, with their centres aligned, over the length
-   that a near duplicate needs (interval join).
-4. A min-hash with up to ``PAIRS`` texts is joined pair by pair. A larger
-   group is a crowd: every two members whose surroundings share enough shingles
-   are compared, rare shingles leading to them, unless they are linked already
-   through others at the same place. So a crowd is linked throughout, by about
-   one pair a member, whatever words stand beside the centre.
-5. Candidates are verified on the texts: runs of shingles in the same order
-   are chained, and the longest parts of the chain that reach the length and
-   the similarity are the passages. A passage begins and ends with equal words.
-
-The result has pairs between texts that differ (with the passage in both) and,
-for texts with equal words, each copy with the first document.
+their shingles is 0.8 or more and both begin and end with equal words.
+
+1. The Cartesian tree over a text's shingle hashes gives compact windows
+   (l, c, r): every subsequence of [l, r] that holds c has the min-hash of
+   place c. Nodes whose window spans ``RUN`` shingles or more are kept.
+2. One hash function is enough, and certain. Similarity 0.8 allows two passages
+   that share s shingles s / 4 others between them. A changed, added or missing
+   word costs 9 or more, so there are at most s / 36 changes, and the longest
+   run of equal shingles has s / (s / 36 + 1) or more: 21 at least, as s is 41
+   at least. In both texts that run's least shingle is the centre of a window
+   that spans the run. So near passages always meet at an equal min-hash, with
+   ten equal shingles on one side of it.
+3. Windows are joined on min-hash and on the hash of the ten shingles on either
+   side; min-hashes of one text only are dropped. Joined windows must overlap,
+   with their centres aligned, over ``RUN`` shingles (interval join).
+4. Candidates are verified on the words around the centre, as far as a passage
+   of up to twice the least length reaches. A longer near passage has such a
+   part, at one of its centres. First every member of a group is compared with
+   the group's first, and then with all others that are not linked to it yet
+   and that share enough shingles, found by rare shingles (prefix filter). So
+   a crowd is linked throughout by about one link a member.
+5. Verified parts that overlap in a text are one passage. Passages linked
+   through others form a class.
+
+The result has one row per passage of each text, with its class, and one row
+per copy of a text (equal from end to end) with the first of the copies, whose
+passages stand for all of them.
+
+Groups beyond ``BLOCK`` members are dealt into blocks, every two of which meet.
 
 Defined results: documents with a null doc_id cannot be named and are left
 out; null, empty and short texts have no passages; passages repeated inside
-one document only are not reported; an empty table gives an empty result.
+one document only are not reported; a doc_id with several texts has the
+passages of each; extra columns are ignored; an empty table gives an empty
+result. Passages that repeat one phrase over and over may be near duplicates
+with shorter equal runs, when only the number of repeats differs; these are not
+searched for.
 """
 
 from __future__ import annotations
@@ -37,40 +46,48 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, ship
+from .common import WORD, broadcast_if_small, drop_scratch, materialize, n_shuffle, ship
+from .components import connected_components
 
 SHINGLE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
-HASHES = 2
-PAIRS = 8
-#: Shingles on both sides of a centre: a passage of up to twice the least length that holds it.
-AROUND = 2 * (MIN_WORDS - SHINGLE + 1) - 1
-#: Members of a large group that one task holds.
-BLOCK = 1 << 15
-#: Values of the fixed-size prefilter of texts that are fetched for verification.
-FETCH_BUCKETS = 1 << 17
 _LENGTH = MIN_WORDS - SHINGLE + 1
 #: Shingles that two passages share at least: s / (2 * _LENGTH - s) >= SIMILARITY.
 _SHARED = -(-8 * _LENGTH // 9)
-_NONE = -(1 << 60)
-_MEMO_ENTRIES = 200_000
+#: Equal shingles in a row that two near passages have at least.
+RUN = -(-_SHARED // (_SHARED // 36 + 1))
+#: Equal shingles beside the least one of such a run, on one side at least.
+SIDE = (RUN - 1) // 2
+#: Shingles on both sides of a centre: a passage of up to twice the least length that holds it.
+AROUND = 2 * _LENGTH - 1
+#: Words around a centre.
+_WIDTH = 2 * AROUND + SHINGLE
+#: Members of a group that one task holds, twice.
+BLOCK = 1 << 14
+#: Members of a part of a group that are compared pair by pair.
+SMALL = 16
+#: Pairs that are verified at once, and members that are gathered before.
+_CHUNK = 1 << 12
+#: Texts that are cut into windows at once.
+_TEXTS = 32
+#: Pairs that are aligned with shifts at once.
+_SHIFTED = 1 << 7
+#: Values of the fixed-size prefilter of texts that are fetched for verification.
+FETCH_BUCKETS = 1 << 17
+#: What a shingle that only one text has costs, when a shared one scores 1: shared / union >= SIMILARITY.
+GAP = 4
+#: Words that one text may have more than the other in a near passage.
+SHIFT = (2 * AROUND + 1) // GAP - 2 * (SHINGLE - 1)
+_NONE = -(1 << 20)
 _PRIME = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, made on first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_POWER = np.cumprod(np.full(256, 0xD6E8FEB86659FD93, dtype=np.uint64))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+_FAR = np.cumprod(np.full(_WIDTH, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,456 +97,569 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A hash of each byte.
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _runs(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` words."""
-    m = len(words) - n + 1
+    """Hash of each run of ``n`` words along the last axis."""
+    m = words.shape[-1] - n + 1
     if m <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(m, dtype=np.uint64)
+        return np.zeros((*words.shape[:-1], 0), dtype=np.uint64)
+    out = np.zeros((*words.shape[:-1], m), dtype=np.uint64)
     for j in range(n):
-        out += words[j : j + m] * _PRIME[j]
+        out += words[..., j : j + m] * _PRIME[j]
     return out
 
 
-def word_hashes(text: bytes | None, memo: WordHashes) -> np.ndarray:
-    words = (text or b"").lower().split()
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words between white space, A-Z in lower case, and the place of each word's first byte."""
+    data = np.frombuffer(text.lower(), dtype=np.uint8)
+    inside = ~_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts
+    number = np.cumsum(first[inside]) - 1
+    begin = np.flatnonzero(first[inside])
+    place = np.arange(len(number)) - begin[number]
+    power = _POWER if place.max() < len(_POWER) else np.cumprod(np.full(int(place.max()) + 1, _POWER[0], dtype=np.uint64))
+    return _mix(np.add.reduceat(_BYTE[data[inside]] * power[place], begin)), starts
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    return _mix(_runs(words, SHINGLE))
-
+    return _mix(_runs(words, SHINGLE)) | np.uint64(1)
 
-def compact_windows(hashes: np.ndarray, length: int = _LENGTH) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree's nodes that span ``length`` or more; r is exclusive, ties go left."""
-    out, todo = [], [(0, len(hashes))]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < length:
-            continue
-        c = lo + int(hashes[lo:hi].argmin())
-        out.append((lo, c, hi))
-        todo += [(lo, c), (c + 1, hi)]
-    return out
 
+def compact_windows(hashes: np.ndarray, length: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the Cartesian tree's nodes that span ``length`` or more; r is exclusive, ties go left.
 
-def _beside(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit hashes of the ``n`` words before and after each shingle; 0 where the text ends before."""
-    m = max(len(words) - SHINGLE + 1, 0)
-    runs = np.zeros(len(words), dtype=np.uint64)
-    # a long run is hashed from prefix sums of hashes by place, made relative by a power of the odd multiplier
-    powers = np.cumprod(np.full(len(words) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
-    inverse = np.cumprod(np.full(len(words) + 1, _INVERSE, dtype=np.uint64))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers[: len(words)], dtype=np.uint64)])
-    k = len(words) - n + 1
-    if k > 0:
-        runs[:k] = _mix((sums[n:] - sums[:k]) * inverse[:k]) >> np.uint64(48)
-    left, right = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=np.uint64)
-    if m > n:
-        left[n:] = runs[: m - n]
-        right[: m - n] = runs[SHINGLE : SHINGLE + m - n]
-    return left, right
-
-
-_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-
-def window_rows(doc_id: int, text: bytes | None, memo: WordHashes, hashes: int) -> dict[str, np.ndarray] | None:
-    """The compact windows of one text as columns."""
-    words = word_hashes(text, memo)
-    if len(words) < MIN_WORDS:
-        return None
-    tokens = shingle_hashes(words)
-    sig = xxhash.xxh64_intdigest(words.tobytes(), 1)
-    (l8, r8), (l32, r32) = _beside(words, 8), _beside(words, 32)
-    beside = l8 | (r8 << np.uint64(16)) | (l32 << np.uint64(32)) | (r32 << np.uint64(48))
-    values, spans, centres = [], [], []
-    for k in range(hashes):
-        ordered = _mix(tokens ^ np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) if k else tokens
-        found = np.array(compact_windows(ordered), dtype=np.int64)
-        l, c, r = found.T
-        values.append(_mix(ordered[c] + np.uint64(k)))
-        spans.append((np.minimum(c - l, 32767) << 16) | np.minimum(r - 1 - c, 32767))
-        centres.append(c)
-    n = sum(map(len, values))
-    root = np.zeros(n, dtype=bool)
-    root[0] = True
+    A zero is no shingle but the border between two texts.
+    """
+    bound = np.concatenate([[np.uint64(0)], hashes, [np.uint64(0)]])
+    real = np.flatnonzero(hashes) + 1
+    left, right = np.arange(len(bound)) - 1, np.arange(len(bound)) + 1
+    for to, beyond in ((left, np.greater), (right, np.greater_equal)):
+        # everything between a place and where it points to is larger, so a pointer may follow that of its end
+        todo = real
+        while len(todo):
+            at = to[todo]
+            on = beyond(bound[at], bound[todo]) & (bound[at] > 0)
+            todo, at = todo[on], at[on]
+            to[todo] = to[at]
+    wide = real[right[real] - left[real] - 1 >= length]
+    return left[wide], wide - 1, right[wide] - 1
+
+
+NODE_SCHEMA = "value long, sig long, c int, reach int, left int, right int"
+
+
+def nodes_of(texts: list[bytes], sigs: np.ndarray) -> dict[str, np.ndarray]:
+    """Compact windows of some texts as columns: min-hash, text, place, the window's reach on both sides, the shingles beside it."""
+    words, starts = word_hashes(b"\n".join(texts))
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    size = np.diff(ends, prepend=0)
+    hashes = np.zeros(len(words), dtype=np.uint64)
+    hashes[: max(len(words) - SHINGLE + 1, 0)] = shingle_hashes(words)
+    hashes[np.repeat(size < MIN_WORDS, size)] = 0
+    for j in range(1, SHINGLE):
+        hashes[ends[size >= MIN_WORDS] - j] = 0  # shingles that reach into the next text
+    l, c, r = compact_windows(hashes)
+    owner = np.searchsorted(ends, c, side="right")
+    beside = (_mix(_runs(words, SIDE + SHINGLE - 1)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    # ten shingles end before the centre, or begin after it
+    left = np.where(c - l >= SIDE, beside[np.clip(c - SIDE, 0, max(len(beside) - 1, 0))], 0) if len(c) else c.astype(np.int32)
+    right = np.where(r - 1 - c >= SIDE, beside[np.clip(c + 1, 0, max(len(beside) - 1, 0))], 0) if len(c) else c.astype(np.int32)
+    reach = np.minimum(c - l, AROUND) << 8 | np.minimum(r - 1 - c, AROUND)
+    # of the places of a short phrase that is repeated on and on, the first and the last are enough
+    by = np.lexsort((c, left, right, hashes[c], owner))
+    step = np.diff(c[by])
+    step[np.any([np.diff(v[by].astype(np.int64)) != 0 for v in (owner, hashes[c].view(np.int64), left, right)], axis=0) | (step > 2 * SIDE + SHINGLE)] = 0
+    between = np.zeros(len(c), dtype=bool)
+    between[by[1:-1]] = (step[1:] == step[:-1]) & (step[1:] > 0)
+    l, c, r, owner, left, right, reach = (v[~between] for v in (l, c, r, owner, left, right, reach))
+    start = ends - size
     return {
-        "value": np.concatenate(values).view(np.int64),
-        "sig": np.full(n, sig, dtype=np.uint64).view(np.int64),
-        "doc_id": np.full(n, doc_id, dtype=np.int64),
-        "span": np.concatenate(spans),
-        "c": np.concatenate(centres).astype(np.int32),
-        "beside": beside[np.concatenate(centres)].view(np.int64),
-        "root": root,
+        "value": _mix(hashes[c]).view(np.int64),
+        "sig": sigs[owner],
+        "c": (c - start[owner]).astype(np.int32),
+        "reach": reach.astype(np.int32),
+        "left": left.astype(np.int32),
+        "right": right.astype(np.int32),
     }
 
 
-WINDOW_SCHEMA = "value long, sig long, doc_id long, span long, c int, beside long, root boolean"
-
-
-def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Compact windows of ``docs(doc_id, text)``."""
-    ship(docs.sparkSession)
+def windows(texts: DataFrame) -> DataFrame:
+    """Compact windows of ``texts(sig, text)``."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                rows = [r for d, t in zip(part["doc_id"], part["text"]) if (r := window_rows(int(d), t, memo, hashes))]
-                if rows:
-                    yield pd.DataFrame({c: np.concatenate([r[c] for r in rows]) for c in rows[0]})
-
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.mapInPandas(make, WINDOW_SCHEMA)
-
-
-def _split(members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Members (with n) of groups that are small enough to pair, and of those that are not."""
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = members.join(sizes, keys)
-    return joined.where(F.col("n") <= PAIRS).drop("n"), joined.where(F.col("n") > PAIRS).drop("n")
-
-
-def _overlap(a: str, b: str) -> Column:
-    """Whether two windows, centres aligned, share the length that a near duplicate needs."""
-    left = F.least(F.shiftright(f"{a}.span", 16), F.shiftright(f"{b}.span", 16))
-    right = F.least(F.col(f"{a}.span").bitwiseAND(F.lit(65535)), F.col(f"{b}.span").bitwiseAND(F.lit(65535)))
-    return left + right + 1 >= int(_LENGTH * SIMILARITY)
-
-
-def _pairs(members: DataFrame, keys: list[str]) -> DataFrame:
-    """All pairs (a, b), a < b, within groups of ``_split``'s first kind."""
-    x, y = members.alias("x"), members.alias("y")
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    met = x.join(y, [*same, F.col("x.doc_id") < F.col("y.doc_id"), _overlap("x", "y")])
-    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-
-
-def chains(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """Near-duplicate passages of two texts with shingle hashes a, b and words x, y: (start in a, end, start in b, end, similarity)."""
-    if not len(a) or not len(b):
-        return []
-    order = np.argsort(b, kind="stable")
-    at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
-    place = order[at]
-    same = b[place] == a
-    where = np.flatnonzero(same)
-    if len(where) < _SHARED:
-        return []
-    # a run goes on where the next shingle of a stands next in b, even if b also has it before
-    there = place[where]
-    cut = np.ones(len(where), dtype=bool)
-    follows = (where[1:] == where[:-1] + 1) & (there[1:] == there[:-1] + 1)
-    cut[1:] = ~follows
-    starts = np.flatnonzero(cut)
-    ends = np.append(starts[1:], len(where))
-    # a repeated shingle leads to its first place in b; runs are drawn out both ways as far as the texts agree
-    runs, reach = [], {}
-    for s, e in zip(starts, ends):
-        i, j, n = int(where[s]), int(there[s]), int(e - s)
-        if i + n <= reach.get(i - j, -1):
-            continue  # inside a run before
-        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-            n += 1
-        while i and j and a[i - 1] == b[j - 1]:
-            i, j, n = i - 1, j - 1, n + 1
-        reach[i - j] = i + n
-        runs.append((i, j, n))
-    out: list[tuple[int, int, int, int, float]] = []
-    for chain in _paths(sorted(runs), min(len(a), len(b)) // 4):
-        _parts(chain, x, y, out)
-    return out
+            for at in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(at, _TEXTS)
+                found = nodes_of(part.column(1).to_pylist(), part.column(0).to_numpy())
+                if len(found["c"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], list(found))
 
+    return texts.select("sig", "text").mapInArrow(make, NODE_SCHEMA)
 
-def _paths(runs: list[tuple[int, int, int]], most: int) -> list[np.ndarray]:
-    """Runs (start in a, in b, length) chained in the order of both texts, over gaps of up to ``most`` shingles in sum."""
-    if len(runs) == 1:
-        return [np.array(runs)]
-    r = np.array(runs)
-    i, j, n = r.T
-    score, before, trim = n.astype(np.int64), np.full(len(r), -1), np.zeros(len(r), dtype=np.int64)
-    for k in range(1, len(r)):
-        gap_a, gap_b = i[k] - i[:k] - n[:k], j[k] - j[:k] - n[:k]
-        over = np.maximum(0, -np.minimum(gap_a, gap_b))  # repeated words beside a change: the run is cut to where the one before ends
-        gaps = gap_a + gap_b + 2 * over
-        gain = np.where((over < n[k]) & (gaps <= most) & (j[:k] < j[k]), score[:k] - 4 * gaps - over, _NONE)
-        best = int(gain.argmax())
-        if gain[best] > _NONE:
-            before[k], trim[k] = best, over[best]
-            score[k] += max(0, gain[best])
-    out, used = [], np.zeros(len(r), dtype=bool)
-    # from the last runs of chains, the best first
-    for k in np.lexsort((-score, np.isin(np.arange(len(r)), before))):
-        path = []
-        while k >= 0 and not used[k]:
-            used[k] = True
-            path.append(k)
-            k = before[k]
-        if path:
-            path = np.array(path[::-1])
-            cut = np.where(np.arange(len(path)) > 0, trim[path], 0)
-            out.append(np.stack([i[path] + cut, j[path] + cut, n[path] - cut], axis=1))
-    return out
 
+# --- verification -----------------------------------------------------------
 
-def _parts(chain: np.ndarray, x: np.ndarray, y: np.ndarray, out: list[tuple[int, int, int, int, float]]) -> None:
-    """Passages of one chain: its longest part that is long and similar enough, then those on both sides of it."""
-    sums = np.concatenate([[0], np.cumsum(chain[:, 2])])
-    todo = [(0, len(chain))]
-    while todo:
-        lo, hi = todo.pop()
-        if sums[hi] - sums[lo] < _SHARED:
-            continue
-        best, found = 0, None
-        for s in range(lo, hi):
-            shared = sums[s + 1 : hi + 1] - sums[s]
-            if shared[-1] < _SHARED:
-                break
-            size_a = chain[s:hi, 0] + chain[s:hi, 2] - chain[s, 0]
-            size_b = chain[s:hi, 1] + chain[s:hi, 2] - chain[s, 1]
-            short = np.minimum(size_a, size_b) < _LENGTH
-            # shared / union >= 0.8
-            good = (9 * shared >= 4 * (size_a + size_b)) & (shared >= _SHARED)
-            for e in np.flatnonzero(good & short):
-                i, j = int(chain[s, 0]), int(chain[s, 1])
-                part = _edges((i, i + int(size_a[e]), j, j + int(size_b[e])), int(shared[e]), x, y)
-                if part and part[1] - part[0] + part[3] - part[2] > best:
-                    best, found = part[1] - part[0] + part[3] - part[2], (s, s + int(e) + 1, part, int(shared[e]))
-            size = np.where(good & ~short, size_a + size_b, 0)
-            e = int(size.argmax())
-            if size[e] > best:
-                i, j = int(chain[s, 0]), int(chain[s, 1])
-                best, found = int(size[e]), (s, s + e + 1, (i, i + int(size_a[e]), j, j + int(size_b[e])), int(shared[e]))
-        if found:
-            s, e, part, shared = found
-            out.append((*part, min(1.0, shared / (best - shared))))
-            todo += [(lo, s), (e, hi)]
-
-
-def _edges(part: tuple[int, int, int, int], shared: int, x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int] | None:
-    """A part that is too short, drawn over a change near its ends to equal words beyond it; None if it stays too short."""
-    i, i2, j, j2 = part
-    spare = 9 * shared // 4 - (i2 - i) - (j2 - j)
-    steps = [(p, q) for p in range(1, spare) for q in range(1, spare - p + 1)]
-    end_a, end_b = i2 + SHINGLE - 2, j2 + SHINGLE - 2
-    left = [(0, 0)] + [(p, q) for p, q in steps if p <= i and q <= j and x[i - p] == y[j - q]]
-    right = [(0, 0)] + [(p, q) for p, q in steps if end_a + p < len(x) and end_b + q < len(y) and x[end_a + p] == y[end_b + q]]
-    fits = [
-        (p + q + u + v, (i - p, i2 + u, j - q, j2 + v))
-        for p, q in left
-        for u, v in right
-        if p + q + u + v <= spare and min(i2 - i + p + u, j2 - j + q + v) >= _LENGTH
-    ]
-    return min(fits)[1] if fits else None
-
-
-def surroundings(centres: DataFrame, texts: DataFrame) -> DataFrame:
-    """(value, doc_id, at, words): 32-bit hashes of the words around ``centres(value, doc_id, c, span)``, as far as their windows and ``AROUND`` go."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for batch in batches:
-            rows = []
-            for doc, text, own in zip(batch["doc_id"], batch["text"], batch["own"]):
-                words = (word_hashes(text, memo) >> np.uint64(32)).astype(np.uint32)
-                for r in own:
-                    lo, hi = max(r["c"] - min(r["span"] >> 16, AROUND), 0), r["c"] + min(r["span"] & 65535, AROUND) + SHINGLE
-                    rows.append((r["value"], doc, r["c"] - lo, words[lo:hi].tobytes()))
-            yield pd.DataFrame(rows, columns=["value", "doc_id", "at", "words"])
 
-    own = centres.groupBy("doc_id").agg(F.collect_list(F.struct("value", "c", "span")).alias("own"))
-    return texts.join(own, "doc_id").select("doc_id", "text", "own").mapInPandas(run, "value long, doc_id long, at int, words binary")
+def match(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Whether words around aligned centres (one pair a row) have a near passage without a shift that holds the centre.
+
+    Returns (found, first shingle, last shingle, shared shingles, whether a run of ``RUN`` equal shingles holds the centre's shingle just once).
+    """
+    equal = (x == y) & (x != 0)
+    shared = equal[:, : 2 * AROUND + 1].copy()
+    for j in range(1, SHINGLE):
+        shared &= equal[:, j : j + 2 * AROUND + 1]
+    both = (x != 0) & (y != 0)
+    there = both[:, : 2 * AROUND + 1] & both[:, SHINGLE - 1 :]
+    # 9 * shared >= 8 * length, as a sum over places
+    weight = np.where(shared, 1, -8).astype(np.int32)
+    after = np.cumsum(weight[:, AROUND:], axis=1)
+    before = np.concatenate([np.zeros((len(x), 1), dtype=np.int32), np.cumsum(weight[:, AROUND - 1 :: -1], axis=1)], axis=1)
+    none = np.int32(-(1 << 20))
+    # a passage begins and ends with equal words
+    after = np.where(equal[:, AROUND + SHINGLE - 1 :] & there[:, AROUND:], after, none)
+    before = np.where(equal[:, AROUND::-1][:, : AROUND + 1] & there[:, AROUND::-1], before, none)
+    best_after = np.maximum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
+    need = np.maximum(_LENGTH - 1 - np.arange(AROUND + 1), 0)
+    total = before + best_after[:, need]
+    k = total.argmax(axis=1)
+    row = np.arange(len(x))
+    found = (total[row, k] >= 0) & shared[:, AROUND]
+    want = best_after[row, need[k]]
+    far = AROUND - (after[:, ::-1] == want[:, None]).argmax(axis=1)
+    length = k + far + 1
+    end = np.ones((len(x), 1), dtype=bool)
+    behind = np.argmax(np.concatenate([~shared[:, AROUND:], end], axis=1), axis=1)
+    ahead = np.argmax(np.concatenate([~shared[:, AROUND::-1], end], axis=1), axis=1)
+    again = np.ones((len(x), 2 * AROUND + 1), dtype=bool)
+    for j in range(SHINGLE):
+        again &= x[:, j : j + 2 * AROUND + 1] == x[:, AROUND + j, None]
+    place = np.arange(2 * AROUND + 1)
+    once = (again & (place > AROUND - ahead[:, None]) & (place < AROUND + behind[:, None])).sum(axis=1) == 1
+    return found, AROUND - k, AROUND + far, (total[row, k] + 8 * length) // 9, (behind + ahead > RUN) & once
+
+
+def _aligned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(row, places behind the centre in x, shift in y): the best score of an alignment from the centre to there.
+
+    x and y hold the centre's shingle at 0. A shared shingle scores 1, one that
+    only either text has costs 4, so that a passage is near when its sum is 0
+    or more. Only places where equal words end have a score.
+    """
+    n, m = len(x), AROUND + 1
+    width = 2 * SHIFT + 1
+    pad = np.zeros((n, SHIFT), dtype=x.dtype)
+    wide = np.concatenate([pad, y, pad], axis=1)
+    beyond = np.arange(width, dtype=np.int32) * GAP
+    least = np.int32(_NONE)
+    now = np.where(np.arange(width) >= SHIFT, SHIFT * GAP - beyond, least).astype(np.int32) + np.zeros((n, 1), dtype=np.int32)
+    out = np.full((n, m, width), least, dtype=np.int32)
+    out[:, 0, SHIFT] = 0
+    equal = np.stack([(x[:, j, None] == wide[:, j : j + width]) & (x[:, j, None] != 0) for j in range(m + SHINGLE - 1)], axis=1)
+    shared = equal[:, :m].copy()
+    for j in range(1, SHINGLE):
+        shared &= equal[:, j : j + m]
+    for k in range(1, m):
+        best = now - GAP  # x alone goes on, which shifts y back
+        best[:, :-1] = best[:, 1:]
+        best[:, -1] = least
+        best = np.maximum(best, np.where(shared[:, k], now + 1, least))
+        # y alone goes on
+        now = np.maximum(np.maximum.accumulate(best + beyond, axis=1) - beyond, least)
+        out[:, k] = np.where(equal[:, k + SHINGLE - 1] & (wide[:, k : k + width] != 0), now, least)
+    return out
 
 
-def crowd_links(docs: np.ndarray, at: np.ndarray, around: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs (a, b) of texts by which every near-duplicate passage around one min-hash is linked.
+def match_shifted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As :func:`match`, with words that one text has more than the other.
 
-    Members are tried with each other unless they are linked already. Passages
-    share ``_SHARED`` shingles, so of each member's shingles, the rarest in the
-    crowd first, all but ``_SHARED - 1`` lead to every partner; a common line
-    that is too short leads nowhere.
+    Returns (found, first shingle in x, last in x, first in y, last in y, shared shingles).
+    """
+    sides = []
+    for flip in (False, True):
+        u, v = (w[:, ::-1] if flip else w for w in (x, y))
+        score = _aligned(u[:, AROUND:], v[:, AROUND:])
+        k, shift = np.arange(AROUND + 1)[:, None], np.arange(-SHIFT, SHIFT + 1)
+        reach = np.minimum(k, k + shift)  # of the text that goes less far
+        flat = score.reshape(len(x), -1)
+        order = np.argsort(-np.maximum(reach, 0).ravel(), kind="stable")
+        # the best score of those that reach at least so far
+        best = np.maximum.accumulate(flat[:, order], axis=1)
+        last = np.searchsorted(-np.maximum(reach, 0).ravel()[order], -np.arange(AROUND + 1), side="right") - 1
+        sides.append((flat, best[:, last], np.maximum(reach, 0).ravel()))
+    (flat_r, right, reach), (flat_l, left, _) = sides
+    need = np.maximum(_LENGTH - 1 - np.arange(AROUND + 1), 0)
+    total = left + right[:, need]
+    u = total.argmax(axis=1)
+    row = np.arange(len(x))
+    found = total[row, u] >= 0
+    places = []
+    for flat, want, least in ((flat_l, left[row, u], u), (flat_r, right[row, need[u]], need[u])):
+        # of equal scores the farthest
+        at = np.where((flat == want[:, None]) & (reach >= least[:, None]), reach, -1).argmax(axis=1)
+        k, shift = at // (2 * SHIFT + 1), at % (2 * SHIFT + 1) - SHIFT
+        places.append((k, k + shift))
+    (lx, ly), (rx, ry) = places
+    lengths = lx + rx + ly + ry + 2
+    # score = shared - GAP * (lengths - 2 * shared); the centre's own shingle scores 1 too
+    shared = (total[row, u] + 1 + GAP * lengths) // (2 * GAP + 1)
+    return found, AROUND - lx, AROUND + rx, AROUND - ly, AROUND + ry, shared
+
+
+class _Links:
+    """Members of groups, and which of them are linked. A member is a place of a text with the words around it."""
+
+    def __init__(self, sig: np.ndarray, reach: np.ndarray, words: np.ndarray):
+        self.sig, self.words = sig, words
+        self.before, self.after = reach >> 8, reach & 255
+        self.root = list(range(len(sig)))
+        #: (member, its first word, word after its last, the same of another member, similarity), words by their place around the centre
+        self.edges: list[tuple[np.ndarray, ...]] = []
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.find, of.tolist()), dtype=np.int64, count=len(of))
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that are not linked."""
+        on = self.roots(x) != self.roots(y)
+        return x[on], y[on]
+
+    def _join(self, x: np.ndarray, y: np.ndarray) -> None:
+        for p, q in zip(x.tolist(), y.tolist()):
+            p, q = self.find(p), self.find(q)
+            self.root[max(p, q)] = min(p, q)
+
+    def attempt(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Compare members x and y pair by pair, where their texts differ and their windows overlap enough."""
+        meet = np.minimum(self.before[x], self.before[y]) + np.minimum(self.after[x], self.after[y]) + 1 >= RUN
+        meet &= self.sig[x] != self.sig[y]
+        x, y = x[meet], y[meet]
+        shifted = [np.zeros((0, 2), dtype=np.int64)]
+        for at in range(0, len(x), _CHUNK):
+            p, q = x[at : at + _CHUNK], y[at : at + _CHUNK]
+            found, lo, hi, shared, single = match(self.words[p], self.words[q])
+            # a near passage with a shift has its run of equal shingles around the centre, or is found at the centre of that run
+            other = ~found & single
+            shifted.append(np.stack([p[other], q[other]], axis=1))
+            i, j, lo, hi, shared = p[found], q[found], lo[found], hi[found] + 1, shared[found]
+            self._join(i, j)
+            self.edges.append((i, lo, hi + SHINGLE - 1, j, lo, hi + SHINGLE - 1, shared / (2 * (hi - lo) - shared)))
+        x, y = self.apart(*np.concatenate(shifted).T)
+        for at in range(0, len(x), _SHIFTED):
+            p, q = self.apart(x[at : at + _SHIFTED], y[at : at + _SHIFTED])
+            found, *places, shared = match_shifted(self.words[p], self.words[q])
+            i, j, shared = p[found], q[found], shared[found]
+            lx, rx, ly, ry = (v[found] for v in places)
+            self._join(i, j)
+            self.edges.append((i, lx, rx + SHINGLE, j, ly, ry + SHINGLE, shared / (rx - lx + ry - ly + 2 - shared)))
+
+
+def _parts_of(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members in the order of (group, key), without those that have no key, and start and size of each part with two or more."""
+    order = np.lexsort((key, group))
+    order = order[key[order] != 0]
+    if not len(order):
+        return order, order, order
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(group[order]) != 0) | (np.diff(key[order]) != 0)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(order)))
+    return order, start[size > 1], size[size > 1]
+
+
+def link_members(group: np.ndarray, sig: np.ndarray, reach: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Edges by which every near passage around the centres of each group is linked; members come in the order of their groups."""
+    links = _Links(sig, reach, words)
+    sides = [_parts_of(group, key) for key in (left, right)]
+    pairs = [np.zeros((0, 2), dtype=np.int64)]
+    for order, start, size in sides:
+        inside = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        hub, member = order[np.repeat(start, size)], order[inside]
+        pairs.append(np.stack([hub, member], axis=1)[hub != member])
+    x, y = np.unique(np.concatenate(pairs), axis=0).T
+    links.attempt(x, y)
+    # then all that are not linked yet
+    rest = [np.zeros((0, 2), dtype=np.int64)]
+    crowds = []
+    for order, start, size in sides:
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            part = order[s : s + n]
+            if n > SMALL:
+                crowds.append(part)
+                continue
+            root = links.roots(part)
+            if (root != root[0]).any():
+                i, j = np.triu_indices(n, 1)
+                apart = (root[i] != root[j]) & (i > 0)
+                rest.append(np.stack([part[i[apart]], part[j[apart]]], axis=1))
+    x, y = np.unique(np.concatenate(rest), axis=0).T
+    links.attempt(x, y)
+    for part in crowds:
+        _link_crowd(links, part)
+    return links.edges
+
+
+def _often(tokens: np.ndarray) -> np.ndarray:
+    """For each token, whether two members (rows) or more have it; zeros are none."""
+    n, m = tokens.shape
+    key = np.unique(tokens, return_inverse=True)[1].reshape(n, m).astype(np.int64)
+    seen = np.unique(key * n + np.arange(n)[:, None])
+    return (np.bincount(seen // n, minlength=key.max() + 1)[key] > 1) & (tokens != 0)
+
+
+def _may_match(often: np.ndarray) -> np.ndarray:
+    """Rows where the tokens that others have too stand close enough for a passage that holds the centre."""
+    weight = np.where(often, 1, -8).astype(np.int32)
+    after = np.cumsum(weight[:, AROUND:], axis=1)
+    before = np.concatenate([np.zeros((len(often), 1), dtype=np.int32), np.cumsum(weight[:, AROUND - 1 :: -1], axis=1)], axis=1)
+    best = np.maximum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
+    need = np.maximum(_LENGTH - 1 - np.arange(AROUND + 1), 0)
+    return (before + best[:, need]).max(axis=1) >= 0
+
+
+def _link_crowd(links: _Links, part: np.ndarray) -> None:
+    """Link a large part: its members share the centre and its side.
+
+    Passages share ``_SHARED`` shingles, so of each member's shingles, the
+    rarest of the crowd first, all but ``_SHARED - 1`` lead to every partner.
     """
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order]
-    words = [np.frombuffer(around[i], dtype=np.uint32).astype(np.uint64) for i in order]
-    flat = np.concatenate(words)
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    if len(flat) < SHINGLE:
-        return []
-    tokens = shingle_hashes(flat)
-    whole = owner[: len(tokens)] == owner[SHINGLE - 1 :]
-    tokens, owner = tokens[whole], owner[: len(tokens)][whole]
-    bounds = np.searchsorted(owner, np.arange(len(words) + 1))
-    own = [tokens[bounds[i] : bounds[i + 1]] for i in range(len(words))]
-
-    # a shingle that a member repeats counts as often as it stands there
-    by = np.lexsort((tokens, owner))
-    t, o = tokens[by], owner[by]
-    new = np.ones(len(t), dtype=bool)
-    new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-    begin = np.flatnonzero(new)
-    nth = np.arange(len(t)) - np.repeat(begin, np.diff(np.append(begin, len(t))))
-    key = np.unique(_mix(t + nth.astype(np.uint64) * _PRIME[1]), return_inverse=True)[1]
     while True:
-        often = np.bincount(key)[key]
-        enough = np.bincount(o[often > 1], minlength=len(words)) >= _SHARED
-        keep = (often > 1) & enough[o]
+        root = links.roots(part)
+        if (root == root[0]).all():
+            return
+        words = links.words[part]
+        tokens = shingle_hashes(words.astype(np.uint64))
+        tokens[(words[:, : tokens.shape[1]] == 0) | (words[:, SHINGLE - 1 :] == 0)] = 0
+        # passages of others hold shingles that others have
+        often = _often(tokens)
+        keep = _may_match(often)
         if keep.all():
             break
-        key, o = key[keep], o[keep]
-        if not len(key):
-            return []
-
-    by = np.lexsort((key, often, o))
-    key, o = key[by], o[by]
-    size = np.bincount(o, minlength=len(words))
-    first = np.cumsum(size) - size
-    rank = np.arange(len(o)) - first[o]
-    table = np.full((len(words), int(size.max())), key.max() + 1, dtype=np.int32)
-    table[o, rank] = key
-    lead = rank <= size[o] - _SHARED
-    by = np.lexsort((o[lead], key[lead]))
-    key, o = key[lead][by], o[lead][by]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        part = part[keep]
+        if len(part) < 2:
+            return
+    n = len(part)
+    key = np.unique(np.where(often, tokens, 0), return_inverse=True)[1].reshape(tokens.shape).astype(np.int64)
+    count = np.bincount(key.ravel())
+    owner = np.repeat(np.arange(n), tokens.shape[1])[often.ravel()]
+    key = key[often]
+    by = np.lexsort((key, count[key], owner))
+    key, owner = key[by], owner[by]
+    size = np.bincount(owner, minlength=n)
+    rank = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    table = np.full((n, int(size.max())), key.max() + 1, dtype=np.int64)
+    table[owner, rank] = key
+    lead = rank <= size[owner] - _SHARED
+    by = np.lexsort((owner[lead], key[lead]))
+    key, owner = key[lead][by], owner[lead][by]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     length = np.diff(np.append(start, len(key)))
-
-    root = np.arange(len(words))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return int(x)
-
-    pairs: set[tuple[int, int]] = set()
+    # each with the first of a shingle that it shares most, which links most of a crowd of near copies
+    head = np.repeat(owner[start], length)
+    codes, times = np.unique(owner * n + head, return_counts=True)
+    x, y = codes // n, codes % n
+    apart = root[x] != root[y]
+    x, y, times = x[apart], y[apart], times[apart]
+    by = np.lexsort((y, -times, x))
+    x, y = x[by], y[by]
+    first = np.append(True, x[1:] != x[:-1])[: len(x)]
+    links.attempt(part[x[first]], part[y[first]])
+    # then those of every lead that are apart still, from the smaller sides
+    root = links.roots(part)
+    partners: dict[int, list[np.ndarray]] = {}
+    for s, m in zip(start.tolist(), length.tolist()):
+        mine = owner[s : s + m]
+        names, number = np.unique(root[mine], return_inverse=True)
+        if len(names) > 1:
+            most = np.bincount(number).argmax()
+            for i in mine[number != most].tolist():
+                partners.setdefault(i, []).append(mine)
     mark = np.zeros(int(table.max()) + 1, dtype=bool)
-
-    def attempt(x: int, others: np.ndarray) -> None:
-        others = others[docs[others] != docs[x]]
-        mark[table[x, : size[x]]] = True
+    todo = [np.zeros((0, 2), dtype=np.int64)]
+    for at, i in enumerate(sorted(partners), 1):
+        others = np.unique(np.concatenate(partners[i]))
+        others = others[links.roots(part[others]) != links.find(int(part[i]))]
+        mark[table[i, : size[i]]] = True
         others = others[mark[table[others]].sum(axis=1) >= _SHARED]
-        mark[table[x, : size[x]]] = False
-        for y in others.tolist():
-            p, q = find(x), find(y)
-            if p == q:
-                continue
-            met = chains(own[y], own[x], words[y], words[x])
-            if met:
-                pairs.add((int(docs[y]), int(docs[x])))
-            # linked at this place: a passage that holds both centres
-            if any(i <= at[y] < i2 and j <= at[x] < j2 for i, i2, j, j2, _ in met):
-                root[max(p, q)] = min(p, q)
-
-    # first with the first of each shingle, which links most of a crowd of near copies
-    head = np.repeat(o[start], length)
-    codes, n = np.unique(o[o != head] * len(words) + head[o != head], return_counts=True)
-    x, y = codes // len(words), codes % len(words)
-    by = np.lexsort((y, -n, x))
-    x, y = x[by], y[by]
-    top = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
-    for i in top:
-        attempt(int(x[i]), y[i : i + 1])
-    # then everyone with everyone before it that is not linked to it
-    name = np.array([find(i) for i in range(len(words))])
-    apart = np.minimum.reduceat(name[o], start) != np.maximum.reduceat(name[o], start)
-    groups: dict[int, list[np.ndarray]] = {}
-    for g in np.flatnonzero(apart):
-        part = o[start[g] : start[g] + length[g]]
-        for m in range(1, len(part)):
-            groups.setdefault(int(part[m]), []).append(part[:m])
-    for x in sorted(groups):
-        others = np.unique(np.concatenate(groups[x]))
-        mine = find(x)
-        attempt(x, np.array([y for y in others.tolist() if find(y) != mine], dtype=np.int64))
-    return sorted(pairs)
-
-
-def _linked(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link the members of large groups ``crowd(value, doc_id, c, span)``."""
-    sizes = crowd.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    # beyond a block, every two blocks of a group meet
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = surroundings(crowd, texts).join(sizes, "value").withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.select("value", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "doc_id", "at", "words")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = crowd_links(group["doc_id"].to_numpy(), group["at"].to_numpy(), group["words"].tolist())
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        mark[table[i, : size[i]]] = False
+        todo.append(np.stack([np.full(len(others), part[i]), part[others]], axis=1))
+        if at == len(partners) or sum(map(len, todo)) >= _CHUNK:
+            links.attempt(*links.apart(*np.concatenate(todo).T))
+            todo = todo[:1]
 
-    return dealt.groupBy("value", "low", "high").applyInPandas(run, "a long, b long")
 
+# --- tables ----------------------------------------------------------------
 
-PASSAGE_SCHEMA = "a long, b long, start_a long, words_a long, start_b long, words_b long, similarity double"
+_MEMBER = ("value", "c", "reach", "left", "right")
+_AROUND_SCHEMA = "value long, c int, reach int, left int, right int, sig long, doc_id long, words binary"
+LINK_SCHEMA = "doc_a long, start_a long, end_a long, doc_b long, start_b long, end_b long, similarity double"
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The passages that the texts of ``pairs(a, b)`` have in common. ``texts(doc_id, text)`` has their bytes."""
+def surroundings(texts: DataFrame) -> DataFrame:
+    """A row for each of the centres ``own`` of ``texts(sig, doc_id, text, own)``, with 32-bit hashes of the words around it; 0 where the text ends."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, last_a, last_b = [], None, None
-            # rows come in the order of the last join, so a text is often hashed for several pairs at once
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"]):
-                if a != last_a:
-                    last_a, words_a = a, word_hashes(x, memo)
-                    left = shingle_hashes(words_a)
-                if b != last_b:
-                    last_b, words_b = b, word_hashes(y, memo)
-                    right = shingle_hashes(words_b)
-                for i, i2, j, j2, s in chains(left, right, words_a, words_b):
-                    rows.append((a, b, i, i2 - i + SHINGLE - 1, j, j2 - j + SHINGLE - 1, s))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGE_SCHEMA.split(", ")])
-
-    x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, PASSAGE_SCHEMA)
-
-
-def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """Passages that documents share: ``PASSAGE_SCHEMA`` and kind, 'passage' or 'copy' (equal words from end to end)."""
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                own = row.column(3).flatten()
+                words = (word_hashes(row.column(2)[0].as_py())[0] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                padded = np.concatenate([np.zeros(AROUND, np.uint32), words, np.zeros(AROUND + SHINGLE, np.uint32)])
+                around = np.lib.stride_tricks.sliding_window_view(padded, _WIDTH)
+                own = own.take(pa.array(np.argsort(own.field(1).to_numpy(), kind="stable")))
+                centres = own.field(1).to_numpy()
+                # of a text's places with the same words around, the first stands for all
+                codes = [(around[centres[lo : lo + _CHUNK]] * _FAR).sum(axis=1, dtype=np.uint64) for lo in range(0, len(own), _CHUNK)]
+                own = own.take(pa.array(np.sort(np.unique(np.concatenate(codes), return_index=True)[1])))
+                for lo in range(0, len(own), _CHUNK):
+                    some = [own.field(i).slice(lo, _CHUNK) for i in range(len(_MEMBER))]
+                    n = len(some[0])
+                    data = np.ascontiguousarray(around[some[1].to_numpy()])
+                    ends = np.arange(n + 1, dtype=np.int32) * (4 * _WIDTH)
+                    binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                    same = [pa.array(np.full(n, row.column(i)[0].as_py(), dtype=np.int64)) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*some, *same, binary], [*_MEMBER, "sig", "doc_id", "words"])
+
+    return texts.select("sig", "doc_id", "text", "own").mapInArrow(run, _AROUND_SCHEMA)
+
+
+def _link_table(table: pa.Table) -> pa.RecordBatch | None:
+    """Links of whole groups; their rows stand together."""
+    column = lambda name: table.column(name).to_numpy()
+    value, low, high = column("value"), column("low"), column("high")
+    new = np.zeros(len(value), dtype=np.int64)
+    new[1:] = (value[1:] != value[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    words = np.frombuffer(b"".join(table.column("words").to_pylist()), dtype=np.uint32).reshape(len(value), _WIDTH)
+    edges = link_members(np.cumsum(new), column("sig"), column("reach"), column("left"), column("right"), words)
+    x, lo, hi, y, lo2, hi2, similarity = (np.concatenate(e) for e in zip(*edges)) if edges else [np.zeros(0, dtype=np.int64)] * 7
+    doc, first = column("doc_id"), column("c").astype(np.int64) - AROUND
+    columns = [doc[x], first[x] + lo, first[x] + hi, doc[y], first[y] + lo2, first[y] + hi2, similarity.astype(float)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in LINK_SCHEMA.split(", ")])
+
+
+def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within groups, whose rows come together; a group's rows may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < _CHUNK:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = [table.column(k).to_numpy() for k in ("value", "low", "high")]
+        last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield _link_table(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            rows -= cut
+    if rows:
+        yield _link_table(pa.Table.from_batches(held))
+
+
+def link(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``LINK_SCHEMA`` rows: near passages of two texts, by which all near passages around the centres of ``members`` are linked.
+
+    ``members`` has the columns of ``_MEMBER`` and sig; ``texts`` has sig, doc_id
+    and text.
+    """
+    spark = members.sparkSession
+    own = members.groupBy("sig").agg(F.collect_list(F.struct(*_MEMBER)).alias("own"))
+    around = surroundings(texts.join(own, "sig"))
+    # beyond a block, every two blocks of a group meet
+    sizes = members.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    none = F.lit(0)
+    if sizes.isEmpty():
+        dealt = around.withColumn("low", none).withColumn("high", none)
+    else:
+        dealt = around.join(broadcast_if_small(sizes), "value", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
+        dealt = dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("mine", "other", "blocks")
+    keys = ["value", "low", "high"]
+    together = dealt.repartition(n_shuffle(spark), *keys).sortWithinPartitions(*keys, "sig", "c")
+    return together.mapInArrow(_link_groups, LINK_SCHEMA)
+
+
+def passages_of(links: DataFrame) -> DataFrame:
+    """doc_id, start, n_words, rep_doc_id, rep_start, similarity: the passages of ``links`` with their classes.
+
+    A passage's similarity is that to the passage it is most similar to.
+    """
+    spark = links.sparkSession
+    side = lambda s: links.select(F.col(f"doc_{s}").alias("doc_id"), F.col(f"start_{s}").alias("start"), F.col(f"end_{s}").alias("end"), "similarity")
+    # parts of a text that overlap are one passage
+    parts = side("a").unionByName(side("b")).groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.max("similarity").alias("similarity"))
+    own = Window.partitionBy("doc_id").orderBy("start")
+    new = F.coalesce(F.col("start") >= F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    first = F.max(F.when(F.col("new"), F.col("start"))).over(own)
+    parts = materialize(parts.withColumn("new", new).withColumn("first", first).drop("new"), "parts")
+    spans = parts.groupBy("doc_id", "first").agg(F.max("end").alias("end"), F.max("similarity").alias("similarity"))
+    spans = materialize(spans.withColumn("id", F.monotonically_increasing_id()), "spans")
+    named = materialize(parts.join(spans.select("doc_id", "first", "id"), ["doc_id", "first"]).select("doc_id", "start", "id"), "places")
+    place = lambda s: named.select(F.col("doc_id").alias(f"doc_{s}"), F.col("start").alias(f"start_{s}"), F.col("id").alias(s))
+    edges = links.select("doc_a", "start_a", "doc_b", "start_b").distinct()
+    edges = edges.join(place("a"), ["doc_a", "start_a"]).join(place("b"), ["doc_b", "start_b"]).select("a", "b")
+    roots = connected_components(edges, "passages").withColumnRenamed("node", "id")
+    classed = spans.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = classed.groupBy("root").agg(F.min(F.struct("doc_id", "first")).alias("rep"))
+    return classed.join(least, "root").select(
+        "doc_id", F.col("first").alias("start"), (F.col("end") - F.col("first")).alias("n_words"), F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.first").alias("rep_start"), "similarity"
+    )
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_words, rep_doc_id, rep_start, similarity, kind: 'passage', or 'copy' for a whole text.
+
+    ``start`` and ``n_words`` count words. A class is named by its first passage,
+    the one with the smallest (rep_doc_id, rep_start).
+    """
     spark = docs.sparkSession
     ship(spark)
-    every = materialize(windows(docs, hashes), "compact")
-
-    # equal texts: one stands for all
-    roots = every.where("root").select("sig", "doc_id", "span")
-    firsts = roots.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("sig", "a")
-    size = (F.shiftright("span", 16) + F.col("span").bitwiseAND(F.lit(65535)) + SHINGLE).cast("long")
-    copies = roots.join(firsts, "sig").where("a <> doc_id").select("a", F.col("doc_id").alias("b"), size.alias("n")).distinct()
-    zero = F.lit(0).cast("long")
-    copies = copies.select("a", "b", zero.alias("start_a"), F.col("n").alias("words_a"), zero.alias("start_b"), F.col("n").alias("words_b"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"))
-    copies = materialize(copies, "copies")
-
-    # min-hashes that two different texts have
-    shared = every.groupBy("value").agg(F.min("sig").alias("s"), F.max("sig").alias("t")).where("s <> t").select("value")
-    members = every.select("value", "sig", "doc_id", "span", "c", "beside").join(shared, "value")
-    # a line that a text repeats gives windows with the same surroundings; one of them, with the widest reach, stands for all
-    left, right = F.max(F.shiftright("span", 16)), F.max(F.col("span").bitwiseAND(F.lit(65535)))
-    members = members.groupBy("value", "sig", "beside").agg(F.min("doc_id").alias("doc_id"), F.min("c").alias("c"), (left * 65536 + right).alias("span")).drop("sig")
-    members = materialize(members, "members")
+    own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    own = own.select(F.xxhash64("text").alias("sig"), "doc_id", "text")
+    every = materialize(windows(own), "compact")
+
+    # min-hashes that two different texts have, with equal shingles on a side; copies count as one text
+    two = [F.min("sig").alias("s"), F.max("sig").alias("t")]
+    shared = every.groupBy("value").agg(*two).where("s <> t").select("value")
+    met = materialize(every.join(shared, "value"), "met")
     drop_scratch(every)
-
-    small, large = _split(members, ["value"])
-    crowd = None
-    if not large.isEmpty():
-        crowd = materialize(large.select("value", "doc_id", "span", "c"), "crowd")
-    pairs = materialize(_pairs(small, ["value"]).distinct(), "pairs")
-
-    # texts that may be compared; the prefilter has a fixed size and only saves shuffling texts that are in no pair
-    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    if crowd is not None:
-        named = named.unionByName(crowd.select("doc_id"))
-    named = materialize(named.distinct(), "named")
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FETCH_BUCKETS))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("bucket", bucket)
-    near = own.join(F.broadcast(named.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
-    texts = materialize(near.join(named, "doc_id", "left_semi"), "texts")
-
-    if crowd is not None:
-        pairs = materialize(pairs.unionByName(_linked(crowd, texts)).distinct(), "linked")
-    passages = verify(pairs, texts)
-    return passages.withColumn("kind", F.lit("passage")).unionByName(copies)
+    met = met.dropDuplicates(["value", "sig", "c"])
+
+    def beside(side: str) -> DataFrame:
+        groups = met.where(f"{side} <> 0").groupBy("value", side).agg(*two).where("s <> t").select("value", side)
+        return met.join(groups, ["value", side]).select(*met.columns)
+
+    members = materialize(beside("left").unionByName(beside("right")).dropDuplicates(["value", "sig", "c"]), "members")
+
+    # one text of each signature that is needed; the prefilter has a fixed size and only saves shuffling texts that are not
+    named = materialize(members.select("sig").distinct(), "named")
+    firsts = materialize(own.groupBy("sig").agg(F.min("doc_id").alias("rep_doc_id"), F.max("doc_id").alias("last")), "firsts")
+    bucket = F.pmod(F.col("sig"), F.lit(FETCH_BUCKETS))
+    near = own.withColumn("bucket", bucket).join(F.broadcast(named.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
+    reps = firsts.join(named, "sig", "left_semi").select("sig", F.col("rep_doc_id").alias("doc_id"))
+    texts = near.join(reps, ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"])
+    links = materialize(link(members, texts), "links")
+    drop_scratch(members)
+    passages = passages_of(links).withColumn("kind", F.lit("passage"))
+
+    several = broadcast_if_small(firsts.where("rep_doc_id <> last").select("sig", "rep_doc_id"))
+    zero = F.lit(0).cast("long")
+    words = F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("long")
+    copies = own.join(several, "sig").select("doc_id", zero.alias("start"), words.alias("n_words"), "rep_doc_id", zero.alias("rep_start"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"))
+    return passages.unionByName(copies.where(F.col("n_words") >= MIN_WORDS).distinct())
