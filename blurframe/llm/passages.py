@@ -361,6 +361,8 @@ class _Links:
         x, y = self.apart(*np.concatenate(shifted).T)
         for at in range(0, len(x), _SHIFTED):
             p, q = self.apart(x[at : at + _SHIFTED], y[at : at + _SHIFTED])
+            if not len(p):
+                continue
             found, *places, shared = match_shifted(self.words[p], self.words[q])
             i, j, shared = p[found], q[found], shared[found]
             lx, rx, ly, ry = (v[found] for v in places)
