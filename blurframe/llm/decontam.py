@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, lower_ascii, materialize
+from .common import broadcast_if_small, lower_ascii, materialize, packed
 
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -134,7 +134,11 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tup
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that are not contaminated, with all columns."""
-    own = docs.withColumn("_key", F.coalesce(F.col(doc_id), F.lit(-(1 << 63)).cast("long")))
-    dirty = overlap(own, benchmark, text, ("_key",)).where("contaminated").select("_key").distinct()
-    return own.join(dirty, "_key", "left_anti").drop("_key")
+    """The documents that are not contaminated, with their own columns, whatever the names.
+
+    Rows that repeat a doc_id are one document: where one of them is
+    contaminated, all go. A null doc_id is a value like any other.
+    """
+    own = docs.select(packed(docs).alias("d"), F.coalesce(F.col(doc_id), F.lit(-(1 << 63)).cast("long")).alias("key"), F.col(text).alias("text"))
+    dirty = overlap(own, benchmark, keep=("key",)).where("contaminated").select("key").distinct()
+    return own.join(dirty, "key", "left_anti").select("d.*")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, broadcast_if_small, materialize, n_shuffle
+from .common import WORD, broadcast_if_small, materialize, n_shuffle, packed
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -49,44 +49,56 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, ma
     return {s: out[s] if s in out else weight[s] * (left / over) for s in names}
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (the words that the mix takes, repeats counted)."""
+def _taken(docs: DataFrame, source: str, text: str, doc_id: str) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, epochs, extra (words beyond whole epochs), and row_hash of doc_id, source and text."""
     spark = docs.sparkSession
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), size_of(F.col(text)).alias("size"), key.alias("key"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), size_of(F.col(text)).alias("size"), key.alias("key"), row_hash(source, text, doc_id).alias("row_hash"))
     order = ["src", "key", "doc_id", "size"]
     ranged = sized.repartitionByRange(n_shuffle(spark), *order).withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")  # the partition of a row is fixed from here on
 
-    sums = ranged.groupBy("src", "part").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = ranged.groupBy("src", "part").agg(F.sum("size").alias("s"))
     sums = materialize(sums, "sums")  # a row for each source and partition that holds some of it
     whole = {r["src"]: r["t"] for r in sums.groupBy("src").agg(F.sum("s").alias("t")).collect()}  # a row for each source
     plan = [(s, whole[s], t, int(t // whole[s]) if whole[s] else 0) for s, t in targets(whole).items()]
     budget = spark.createDataFrame(plan, "b_src string, source_size long, target double, epochs long")
     earlier = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.select(F.col("src").alias("o_src"), F.col("part").alias("o_part"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("shift"))
-    shift = shift.join(F.broadcast(budget), F.col("o_src").eqNullSafe(F.col("b_src"))).drop("b_src")
+    shift = shift.join(broadcast_if_small(budget), F.col("o_src").eqNullSafe(F.col("b_src"))).drop("b_src")
 
     local = Window.partitionBy("part", "src").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("before", F.coalesce(F.sum("size").over(local), F.lit(0)))
     placed = placed.join(broadcast_if_small(shift), (F.col("part") == F.col("o_part")) & F.col("src").eqNullSafe(F.col("o_src")))
     rest = F.floor(F.col("target")) - F.col("epochs") * F.col("source_size") - F.col("shift") - F.col("before")
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", "epochs", F.greatest(F.lit(0), F.least(F.col("size"), rest)).cast("long").alias("extra"), "row_hash")
+
+
+def row_hash(source: str, text: str, doc_id: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(source), F.lit("")), F.col(source).isNull(), F.col(text))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken (the words that the mix takes, repeats counted)."""
+    taken = F.col("epochs") * F.col("size") + F.col("extra")
+    return _taken(docs, source, text, doc_id).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def draw(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The mix itself: every document as often as it is taken, the one at a source's cut shortened to its first words.
 
-    The shortened text has single spaces between its words. Rows that repeat a
-    doc_id must be told apart before; here they would share their draws.
+    The shortened text has single spaces between its words. The result has the
+    columns of ``docs``, whatever their names. Rows with equal doc_id, source and
+    text are drawn one by one: together they give what :func:`mix` takes of them.
     """
-    key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)).cast("long")).alias("_key")
-    take = mix(docs, source, text, doc_id).where("taken > 0").groupBy(key("doc_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    own = docs.select("*", key(doc_id)).join(take, "_key")
-    copies = own.withColumn("_words", F.explode(F.expr("transform(sequence(0, cast((_taken - 1) div _size as int)), i -> least(_size, _taken - i * _size))")))
-    part = F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(_first_words(F.col(text), F.col("_words")))
-    return copies.withColumn(text, part).select(*docs.columns)
+    # what equal rows give together; they have one size and one source
+    take = _taken(docs, source, text, doc_id).groupBy("row_hash").agg(F.max("size").alias("size"), F.max("epochs").alias("epochs"), F.sum("extra").alias("extra")).where("epochs * size + extra > 0")
+    own = docs.select(packed(docs).alias("d"), F.col(text).alias("text"), row_hash(source, text, doc_id).alias("row_hash")).join(take, "row_hash")
+    number = F.row_number().over(Window.partitionBy("row_hash").orderBy("row_hash")) - 1
+    mine = own.withColumn("extra", F.least(F.col("size"), F.greatest(F.lit(0), F.col("extra") - number * F.col("size")))).withColumn("taken", F.expr("epochs * size + extra")).where("taken > 0")
+    copies = mine.withColumn("n", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size))")))
+    part = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(_first_words(F.col("text"), F.col("n")))
+    return copies.select(F.col("d").withField("`" + text.replace("`", "``") + "`", part).alias("d")).select("d.*")
 
 
 def _first_words(text: Column, n: Column) -> Column:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, ship
+from .common import broadcast_if_small, materialize, packed, ship
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -134,28 +134,33 @@ def host_verdicts(flags: DataFrame) -> DataFrame:
     return hosts.select("host", F.col("n").alias("n_docs"), *cols, bad.alias("host_bad"))
 
 
-def _flags(measured: DataFrame, host: str) -> DataFrame:
-    return measured.select(F.col(host).alias("host"), *[c.alias(r) for r, c in rule_columns().items()])
+def _flags(measured: DataFrame) -> DataFrame:
+    return measured.select("host", *[c.alias(r) for r, c in rule_columns().items()])
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts, base failure and verdict of every document; ``keep`` columns come along."""
+    """Counts, base failure and verdict of every document; ``keep`` columns come along, whatever their names."""
     ship(docs.sparkSession)
-    measured = materialize(docs.select(*keep, F.col(host).alias("_host"), metrics_column(F.col(text)).alias("m")), "quality")
-    verdicts = host_verdicts(_flags(measured, "_host")).withColumnRenamed("host", "_vhost")
-    out = measured.join(broadcast_if_small(verdicts), F.col("_host").eqNullSafe(F.col("_vhost")), "left")
+    measured = materialize(docs.select(F.struct(*keep).alias("k"), F.col(host).alias("host"), metrics_column(F.col(text)).alias("m")), "quality")
+    verdicts = host_verdicts(_flags(measured)).withColumnRenamed("host", "judged")
+    out = measured.join(broadcast_if_small(verdicts), F.col("host").eqNullSafe(F.col("judged")), "left")
     rules = rule_columns()
     base = rules["short"] | rules["repeat"]
     counts = [F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return out.select(*keep, *counts, base.alias("base_failed"), (~base & ~F.coalesce("host_bad", F.lit(False))).alias("kept"), "n_docs", *[f"rate_{r}" for r in RULES])
+    return out.select("k.*", *counts, base.alias("base_failed"), (~base & ~F.coalesce("host_bad", F.lit(False))).alias("kept"), "n_docs", *[f"rate_{r}" for r in RULES])
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
+    """The documents that the rules keep, with their own columns and no others.
+
+    Repeated rows are judged and kept one by one. Columns may have any names.
+    The texts are measured once: the measured table is written before the
+    verdicts on hosts are known.
+    """
     ship(docs.sparkSession)
-    measured = docs.withColumn("_m", metrics_column(F.col(text)))
-    rules = rule_columns("_m")
-    verdicts = materialize(host_verdicts(measured.select(F.col(host).alias("host"), *[c.alias(r) for r, c in rules.items()])), "hosts")
-    bad = verdicts.where("host_bad").select(F.col("host").alias("_bad"))
-    good = measured.where(~(rules["short"] | rules["repeat"])).drop("_m")
-    return good.join(broadcast_if_small(bad), F.col(host).eqNullSafe(F.col("_bad")), "left_anti")
+    measured = materialize(docs.select(packed(docs).alias("d"), F.col(host).alias("host"), metrics_column(F.col(text)).alias("m")), "quality")
+    rules = rule_columns()
+    verdicts = materialize(host_verdicts(_flags(measured)), "hosts")
+    bad = verdicts.where("host_bad").select(F.col("host").alias("judged"))
+    good = measured.where(~(rules["short"] | rules["repeat"]))
+    return good.join(broadcast_if_small(bad), F.col("host").eqNullSafe(F.col("judged")), "left_anti").select("d.*")

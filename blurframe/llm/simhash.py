@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, packed, ship
 from .components import connected_components
 
 SHINGLE = 3
@@ -110,11 +110,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that stay: the one with the smallest doc_id of each class, with all columns.
+    """The documents that stay: the one with the smallest doc_id of each class, with their own columns, whatever the names.
 
     Rows that repeat a doc_id stand for one document, so one of them stays;
     a null doc_id counts as the smallest value.
     """
-    key = F.coalesce(F.col(doc_id), F.lit(-(1 << 63)).cast("long")).alias("_key")
-    stay = classes(docs, text, doc_id).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_key")).distinct()
-    return docs.select("*", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    first = F.lit(-(1 << 63)).cast("long")
+    stay = classes(docs, text, doc_id).where("doc_id <=> component_id").select(F.coalesce("doc_id", first).alias("key")).distinct()
+    own = docs.select(packed(docs).alias("d"), F.coalesce(F.col(doc_id), first).alias("key"))
+    return own.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("d.*")
