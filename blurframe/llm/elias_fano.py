@@ -17,6 +17,7 @@ import numpy as np
 
 _HEAD = struct.Struct("<QqBQ")
 _SAMPLE = 512
+_BLOCK = 1 << 14
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -34,12 +35,12 @@ def encode(values: np.ndarray) -> bytes:
     ones = (gaps >> np.uint64(low)) + np.arange(n, dtype=np.uint64)
     high = np.zeros(int(ones[-1]) + 1, dtype=np.uint8)
     high[ones.astype(np.int64)] = 1
-    packed = b""
-    if low:
-        bits = (gaps[:, None] >> np.arange(low, dtype=np.uint64)[None, :]).astype(np.uint8) & 1
-        packed = np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+    packed = []
+    for at in range(0, n if low else 0, _BLOCK):  # a block fills whole bytes
+        bits = (gaps[at : at + _BLOCK, None] >> np.arange(low, dtype=np.uint64)[None, :]).astype(np.uint8) & 1
+        packed.append(np.packbits(bits.reshape(-1), bitorder="little").tobytes())
     vector = np.packbits(high, bitorder="little").tobytes()
-    return _HEAD.pack(n, base, low, len(vector)) + vector + packed
+    return _HEAD.pack(n, base, low, len(vector)) + vector + b"".join(packed)
 
 
 class EliasFano:
@@ -68,11 +69,19 @@ class EliasFano:
         one = first * 8 + int(np.flatnonzero(bits)[i - int(self._rank[block])])
         return self.base + (((one - i) << self.low) | self._low_bits(i, i + 1)[0].item())
 
-    def values(self) -> np.ndarray:
-        """All values, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
-        return (high | self._low_bits(0, self.n)).view(np.int64) + np.int64(self.base)
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """The values from the first-th up to the last-th (exclusive); only the blocks that hold them are decoded."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, dtype=np.int64)
+        begin, end = (int(np.searchsorted(self._rank, i, side="right")) - 1 for i in (first, last - 1))
+        at = begin * (_SAMPLE // 8)
+        bits = np.unpackbits(self._high[at : (end + 1) * (_SAMPLE // 8)], bitorder="little")
+        skip = first - int(self._rank[begin])
+        ones = at * 8 + np.flatnonzero(bits)[skip : skip + last - first]
+        high = (ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low)
+        return (high | self._low_bits(first, last)).view(np.int64) + np.int64(self.base)
 
     def _low_bits(self, first: int, last: int) -> np.ndarray:
         if not self.low or last <= first:

@@ -2,14 +2,18 @@
 
 A shard file holds the documents of one range of doc_id in ascending order:
 
-    magic "EFTOK1\\0\\0", id width in bytes (u8), shards' documents (u64),
-    documents with a null doc_id (u64), length of the ids in bytes (u64),
     the ids of all documents, each followed by the end id,
     Elias-Fano code of the boundaries (documents + 1 values),
-    Elias-Fano code of the doc_ids that are not null.
-
-A document's place is the boundary that ``select`` returns; there is no table
-of 64-bit offsets. A shard is written under a name of its own by each attempt
+    Elias-Fano code of the doc_ids that are not null,
+    id width in bytes (u8), the shard's documents (u64), documents with a null
+    doc_id (u64), length of the ids and of both codes in bytes (u64 each),
+    magic "EFTOK2\\0\\0".
+
+Ids are written as they are made, so a task holds one batch of them, and 16
+bytes a document until the codes are written. A document's place is the
+boundary that ``select`` returns, one by one or for a range of documents; there
+is no table of 64-bit offsets, and readers fetch the ids that they need. Shards
+hold about ``SHARD_BYTES`` of text, however large the table is. A shard is written under a name of its own by each attempt
 of its task and only the shards in the manifest count, so attempts that were
 lost or repeated leave nothing that is read.
 
@@ -44,8 +48,12 @@ from .common import materialize, n_shuffle, scratch_path, ship
 from .token_counts import byte_symbols
 
 END_ID = 0
-MAGIC = b"EFTOK1\0\0"
-_HEAD = struct.Struct("<8sBQQQ")
+MAGIC = b"EFTOK2\0\0"
+_FOOT = struct.Struct("<BQQQQQ8s")
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 32 << 20
+#: Documents that a reader decodes at once.
+_READ = 1 << 10
 
 # White space of Unicode, as the tokenizer's own pattern takes it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -141,28 +149,48 @@ def _open(uri: str, write: bool):
     if write:
         system.create_dir(path.rpartition("/")[0], recursive=True)
         return system.open_output_stream(path)
-    return system.open_input_stream(path)
+    return system.open_input_file(path)
 
 
-def pack_shard(ids: list[bytes], doc_ids: list[int | None], width: int) -> bytes:
-    """The bytes of a shard, from each document's ids (end id included)."""
-    ends = np.cumsum([0, *(len(x) // width for x in ids)], dtype=np.int64)
-    known = np.array([d for d in doc_ids if d is not None], dtype=np.int64)
-    body = b"".join(ids)
-    head = _HEAD.pack(MAGIC, width, len(ids), len(doc_ids) - len(known), len(body))
-    return b"".join([head, body, elias_fano.encode(ends), elias_fano.encode(known)])
+class ShardWriter:
+    """Writes a shard to a stream: documents in ascending order of doc_id, nulls first, then ``close``."""
 
+    def __init__(self, out, width: int):
+        self.out, self.width = out, width
+        self.lengths, self.known, self.nulls = array("Q"), array("q"), 0
 
-class Shard:
-    """Reader of one shard: ``doc_id(i)``, ``bounds(i)``, ``ids(i)``."""
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        self.out.write(ids)
+        self.lengths.append(len(ids) // self.width)
+        if doc_id is None:
+            self.nulls += 1
+        else:
+            self.known.append(doc_id)
+
+    def close(self) -> tuple[int, int]:
+        """Write what follows the ids; documents and ids of the shard."""
+        ends = np.concatenate([[0], np.cumsum(np.frombuffer(self.lengths, dtype=np.uint64).astype(np.int64))])
+        codes = [elias_fano.encode(ends), elias_fano.encode(np.frombuffer(self.known, dtype=np.int64))]
+        for code in codes:
+            self.out.write(code)
+        self.out.write(_FOOT.pack(self.width, len(self.lengths), self.nulls, int(ends[-1]) * self.width, *map(len, codes), MAGIC))
+        return len(self.lengths), int(ends[-1])
 
-    def __init__(self, data: bytes):
-        magic, self.width, self.n, self.nulls, size = _HEAD.unpack_from(data)
-        if magic != MAGIC:
+
+class Shard:
+    """Reader of one shard, a seekable file: ``doc_id(i)``, ``bounds(i)``, ``ids(i)`` by ``select``."""
+
+    def __init__(self, file):
+        self.file = file
+        file.seek(-_FOOT.size, 2)
+        end = file.tell()
+        self.width, self.n, self.nulls, size, ends, known, magic = _FOOT.unpack(file.read(_FOOT.size))
+        if magic != MAGIC or size + ends + known != end:
             raise ValueError("not a token shard")
-        self.tokens = np.frombuffer(data, "<u2" if self.width == 2 else "<u4", size // self.width, _HEAD.size)
-        self.ends = elias_fano.EliasFano(data, _HEAD.size + size)
-        self.known = elias_fano.EliasFano(data, self.ends.end)
+        file.seek(size)
+        codes = file.read(ends + known)
+        self.ends = elias_fano.EliasFano(codes)
+        self.known = elias_fano.EliasFano(codes, ends)
 
     def doc_id(self, i: int) -> int | None:
         return None if i < self.nulls else self.known.select(i - self.nulls)
@@ -170,9 +198,12 @@ class Shard:
     def bounds(self, i: int) -> tuple[int, int]:
         return self.ends.select(i), self.ends.select(i + 1)
 
+    def tokens(self, start: int, stop: int) -> np.ndarray:
+        self.file.seek(start * self.width)
+        return np.frombuffer(self.file.read((stop - start) * self.width), "<u2" if self.width == 2 else "<u4")
+
     def ids(self, i: int) -> np.ndarray:
-        a, b = self.bounds(i)
-        return self.tokens[a:b]
+        return self.tokens(*self.bounds(i))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, text: str = "text", doc_id: str = "doc_id", end_id: int = END_ID, shards: int | None = None) -> DataFrame:
@@ -185,19 +216,24 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, tex
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer, width)
-        ids, names, part = [], [], None
+        writer = None
         for batch in batches:
-            if len(batch):
+            if writer is None and len(batch):
                 part = int(batch["part"].iloc[0])
-                ids += [enc.encode(t or "") + end for t in batch["text"]]
-                names += [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
-        if part is not None:
-            name = f"{folder}/{part:08d}-{uuid.uuid4().hex}.eftok"
-            with _open(name, True) as out:
-                out.write(pack_shard(ids, names, width))
-            yield pd.DataFrame({"part": [part], "file": [name], "n_docs": [len(ids)], "n_tokens": [sum(map(len, ids)) // width]})
-
-    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(shards or n_shuffle(spark), F.col("doc_id").asc_nulls_first())
+                name = f"{folder}/{part:08d}-{uuid.uuid4().hex}.eftok"
+                out = _open(name, True)
+                writer = ShardWriter(out, width)
+            for d, t in zip(batch["doc_id"], batch["text"]):
+                writer.add(None if pd.isna(d) else int(d), enc.encode(t or "") + end)
+        if writer is not None:
+            n_docs, n_tokens = writer.close()
+            out.close()
+            yield pd.DataFrame({"part": [part], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if shards is None:
+        shards = -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // SHARD_BYTES)
+    dealt = own.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
     # nulls must not turn doc_id into floats
     dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "part")
@@ -221,14 +257,16 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch["file"], batch["start"]):
                 with _open(name, False) as f:
-                    shard = Shard(f.read())
-                ends = shard.ends.values()
-                known = shard.known.values()
-                for at in range(0, shard.n, 1 << 14):
-                    last = min(shard.n, at + (1 << 14))
-                    sums = [zlib.crc32(shard.tokens[a:b].astype("<u4").tobytes()) for a, b in zip(ends[at:last], ends[at + 1 : last + 1])]
-                    names = [None if i < shard.nulls else str(known[i - shard.nulls]) for i in range(at, last)]
-                    yield pd.DataFrame({"doc_id": names, "start": start + ends[at:last], "n_tokens": ends[at + 1 : last + 1] - ends[at:last], "ids_crc32": sums})
+                    shard = Shard(f)
+                    for at in range(0, shard.n, _READ):
+                        last = min(shard.n, at + _READ)
+                        ends = shard.ends.select_range(at, last + 1)
+                        tokens = shard.tokens(int(ends[0]), int(ends[-1])).astype("<u4")
+                        places = (ends - ends[0]).tolist()
+                        sums = [zlib.crc32(tokens[a:b]) for a, b in zip(places, places[1:])]
+                        known = shard.known.select_range(max(at - shard.nulls, 0), max(last - shard.nulls, 0))
+                        names = [None] * (last - at - len(known)) + [str(d) for d in known.tolist()]
+                        yield pd.DataFrame({"doc_id": names, "start": start + ends[:-1], "n_tokens": np.diff(ends), "ids_crc32": sums})
 
     out = placed.select("file", "start").mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -240,5 +278,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id
 
 
 def open_shard(uri: str) -> Shard:
-    with _open(uri, False) as f:
-        return Shard(f.read())
+    return Shard(_open(uri, False))

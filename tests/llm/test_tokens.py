@@ -19,7 +19,7 @@ def test_elias_fano_round_trip(values, dense):
     values = sorted(v % 50 if dense else v for v in values)
     code = elias_fano.encode(np.array(values, dtype=np.int64))
     ef = elias_fano.EliasFano(b"xx" + code, 2)
-    assert ef.values().tolist() == values and [ef.select(i) for i in range(len(values))] == values and ef.end == len(code) + 2
+    assert ef.select_range(0, len(values)).tolist() == values and [ef.select(i) for i in range(len(values))] == values and ef.end == len(code) + 2
 
 
 def test_elias_fano_is_small():
@@ -27,6 +27,8 @@ def test_elias_fano_is_small():
     assert len(elias_fano.encode(values)) * 8 / len(values) < 2.1 + np.log2(values[-1] / len(values))
     ef = elias_fano.EliasFano(elias_fano.encode(values))
     assert [ef.select(i) for i in range(0, 20_000, 777)] == values[::777].tolist()
+    for first, last in ((0, 1), (0, 513), (511, 700), (5000, 15_000), (19_999, 20_000), (7, 7)):
+        assert ef.select_range(first, last).tolist() == [ef.select(i) for i in range(first, last)]
     with pytest.raises(IndexError):
         ef.select(20_000)
     with pytest.raises(ValueError):
@@ -79,6 +81,9 @@ def test_files_round_trip(docs, odd):
         want = np.array(lib.encode(odd[i] or "", add_special_tokens=False).ids + [0], dtype="<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (ids[i], at, len(want), zlib.crc32(want.tobytes()))
         at += len(want)
+    # many shards, whose places come from select
+    many = sorted(token_files.read_shards(token_files.write_shards(df, BYTE, shards=7)).collect(), key=lambda r: r["start"])
+    assert [tuple(r) for r in many] == [tuple(r) for r in rows]
     shard = token_files.open_shard(manifest.orderBy("part").first()["file"])
     assert shard.doc_id(0) is None and shard.ids(0)[-1] == 0
     assert token_files.encode_documents(docs([]), BYTE).count() == 0
