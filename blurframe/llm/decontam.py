@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import BROADCAST_ROWS
 from .common import broadcast_if_small, lower_ascii, materialize, packed
 
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,8 +65,11 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     return numbered.select("wid", "w"), held.join(numbered.select("line", "wid"), "line").select("wid", "row", "item").distinct()
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """All documents (row, *keep, n_words), and all occurrences (row, wid, start, len) of ``windows``."""
+def find_windows(docs: DataFrame, windows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """All documents (row, *keep, n_words), and all occurrences (row, wid, start, len) of ``windows``.
+
+    The shingles of up to ``limit`` rows are broadcast; more are shuffled.
+    """
     sized = windows.select("wid", "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(SHINGLE)).alias("size"))
     sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())  # 1 to SHINGLE: three rows at most
     # the windows' shingles in order: (wid, len, off, size, s)
@@ -81,15 +85,23 @@ def find_windows(docs: DataFrame, windows: DataFrame, text: str = "text", keep:
     ids = materialize(parts.select("s").distinct().withColumn("sid", F.monotonically_increasing_id()), "shingle_ids")
     parts = materialize(parts.join(ids, "s").select("wid", "len", "off", "sid"), "window_shingles")
 
-    # one pass over the texts; the empty shingle stands for the document itself
     every = [f"transform({_shingles(size)}, (s, p) -> struct(p AS pos, s AS s))" for size in sizes]
-    own = docs.select(F.monotonically_increasing_id().alias("row"), *keep_cols, words(F.col(text)).alias("w"))
-    spread = own.select("row", *keep, F.size("w").alias("n_words"), F.explode(F.expr(f"concat(array(struct(-1 AS pos, '' AS s)), {', '.join(every)})")).alias("x"))
-    marks = ids.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("s"), F.lit(-1).cast("long").alias("sid")))
-    found = spread.select("row", *keep, "n_words", "x.pos", "x.s").join(broadcast_if_small(marks), "s").drop("s")
-    found = materialize(found, "postings")
-    listed = found.where("sid = -1").select("row", *keep, "n_words")
-    postings = found.where("sid >= 0").select("row", "n_words", "pos", "sid")
+    if ids.limit(limit + 1).count() <= limit:
+        # one pass over the texts; the empty shingle stands for the document itself
+        own = docs.select(F.monotonically_increasing_id().alias("row"), *keep_cols, words(F.col(text)).alias("w"))
+        spread = own.select("row", *keep, F.size("w").alias("n_words"), F.explode(F.expr(f"concat(array(struct(-1 AS pos, '' AS s)), {', '.join(every)})")).alias("x"))
+        marks = ids.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("s"), F.lit(-1).cast("long").alias("sid")))
+        found = spread.select("row", *keep, "n_words", "x.pos", "x.s").join(F.broadcast(marks), "s").drop("s")
+        found = materialize(found, "postings")
+        listed = found.where("sid = -1").select("row", *keep, "n_words")
+        postings = found.where("sid >= 0").select("row", "n_words", "pos", "sid")
+    else:
+        # documents are numbered first, and only their shingles are shuffled
+        numbered = docs.select(F.monotonically_increasing_id().alias("row"), *keep_cols, F.col(text).alias("body"), F.size(words(F.col(text))).alias("n_words"))
+        numbered = materialize(numbered, "numbered")
+        listed = numbered.select("row", *keep, "n_words")
+        spread = numbered.select("row", "n_words", words(F.col("body")).alias("w")).select("row", "n_words", F.explode(F.expr(f"concat({', '.join(every)})")).alias("x"))
+        postings = materialize(spread.select("row", "n_words", "x.pos", "x.s").join(ids, "s").drop("s"), "postings")
 
     # necessary prefix: the shingle of the window that fewest documents hold; one that none holds ends the search
     rarity = postings.select("sid", "row").distinct().groupBy("sid").agg(F.count(F.lit(1)).alias("df"))
@@ -107,10 +119,11 @@ def find_windows(docs: DataFrame, windows: DataFrame, text: str = "text", keep:
     return listed, held.where(F.col("n") == F.greatest(F.col("len") - (SHINGLE - 1), F.lit(1))).select("row", "wid", "start", "len")
 
 
-def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items (sorted ids) and contaminated."""
+def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Per document: ``keep``, n_words, n_hit, n_items, items (sorted ids) and contaminated. ``keep`` columns may have any names."""
     windows, holders = benchmark_windows(benchmark)
-    listed, held = find_windows(docs, windows, text, keep)
+    docs = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
+    listed, held = find_windows(docs, windows, "text", ("kept",), limit)
     held = materialize(held, "occurrences")
 
     # hit words: the union of the windows' spans, start by start
@@ -124,7 +137,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tup
     out = listed.join(hits, "row", "left").join(items, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        *keep,
+        "kept.*",
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from blurframe.llm import decontam
 
 WORD = re.compile(decontam.WORD_RE)
@@ -26,14 +28,16 @@ def slow(texts, items):
     return out
 
 
-def run(docs, spark, texts, items):
+def run(docs, spark, texts, items, limit=decontam.BROADCAST_ROWS):
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = {r["doc_id"]: r for r in decontam.overlap(docs(texts), bench).collect()}
+    rows = {r["doc_id"]: r for r in decontam.overlap(docs(texts), bench, limit=limit).collect()}
     assert len(rows) == len(texts)
     return [(rows[i]["n_words"], rows[i]["n_hit"], [int(x) for x in rows[i]["items"]], rows[i]["contaminated"]) for i in range(len(texts))]
 
 
-def test_brute_force(docs, spark, odd):
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_ROWS, 0])
+def test_brute_force(docs, spark, odd, limit):
+    """Against every window of every text; a benchmark beyond the limit is shuffled."""
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(12)]
     some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -41,7 +45,7 @@ def test_brute_force(docs, spark, odd):
     items += [(100, items[3][1]), (101, None), (102, "?!"), (103, "one"), (104, "a a a")]
     texts = odd[:-1] + [some(rng.randint(0, 80)) for _ in range(60)]
     texts += [f"{some(20)}, {t.upper()} {some(3)}!" for _, t in items[:20] if t]
-    got, want = run(docs, spark, texts, items), slow(texts, items)
+    got, want = run(docs, spark, texts, items, limit), slow(texts, items)
     assert [(a, b, sorted(c), d) for a, b, c, d in got] == [(a, b, sorted(c), d) for a, b, c, d in want]
 
 
