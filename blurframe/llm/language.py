@@ -3,7 +3,8 @@
 A language is a distribution over hashed character trigrams. A document is
 taken as a mixture: expectation-maximisation estimates the proportion of each
 language from the likelihoods of its trigrams, and the set of languages is
-chosen by penalised likelihood. The prediction is the language with the
+chosen by penalised likelihood, from all languages down by the one with the
+smallest proportion. The prediction is the language with the
 largest proportion in that set, and the score is that proportion.
 
 Trigrams overlap, so each character is counted about three times; the
@@ -40,8 +41,6 @@ BUCKETS = 1 << 16
 SAMPLE = 1500
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-#: Languages of a document that enter the search for its set.
-_CANDIDATES = 6
 _ROUNDS, _SETTLED = 30, 1e-4
 
 
@@ -99,7 +98,7 @@ class Profiles:
         # likelihoods relative to the best of each trigram, so that nothing underflows
         top = log.max(axis=1)
         like, base = np.exp(log - top[:, None]), float(counts @ top)
-        chosen = sorted(np.argsort(-single, kind="stable")[: min(_CANDIDATES, len(self.languages))].tolist())
+        chosen = list(range(len(self.languages)))
         # a language that could add less than it costs even with perfect trigrams is no candidate
         penalty = 0.5 * np.log(max(total, 2.0)) * ORDER
         if base - single[best] <= penalty:
@@ -111,8 +110,9 @@ class Profiles:
             gained = likely + base - (len(chosen) - 1) * penalty
             if gained > value:
                 value, found = gained, (list(chosen), share)
-            drop = int(np.argmin(share))
-            chosen = chosen[:drop] + chosen[drop + 1 :]
+            # the smallest goes, and with it all that explain less than one trigram
+            stay = (share * total >= 1) & (np.arange(len(share)) != np.argmin(share))
+            chosen = [c for c, s in zip(chosen, stay) if s]
             if len(chosen) > 1:
                 share, likely = _expect(like[:, chosen], counts)
         return {self.languages[i]: float(s) for i, s in zip(*found)}

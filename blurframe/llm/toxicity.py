@@ -1,29 +1,36 @@
 """Toxicity by a convolutional text classifier in numpy (operator 3).
 
-Words are hashed into an embedding table; filters of several widths run over
-the whole text; each filter keeps its largest answer (max pooling); a logistic
-layer gives the probability. Max pooling sends the gradient of a document back
-through one place per filter, so a step touches a handful of embeddings.
-
-One coordinate of the embeddings starts from how much more often a word is in
-toxic than in other documents of the training rows, which gives the filters a
-direction to begin with.
-
-Thresholds are calibrated by language on training rows that the network did
-not learn from. The language is inferred from the text itself (the best of the
-trigram profiles), never taken from a column. A language with too few toxic
-rows, or where no threshold reaches an even chance of being right, gets one
-that is shrunk towards the threshold of all languages or set to ``STRICT``.
-The published score is the probability with its log odds moved by those of the
-threshold, so that 0.5 is the threshold in every language.
-
-The training rows are a bounded sample: about ``SAMPLE`` labelled documents
-chosen by a hash of the doc_id, alike on every run. Their hashed words come to
-the driver, which trains; scoring runs on the executors over whole texts.
+A word's embedding is the sum of hashed embeddings: of the word, and of its
+beginnings of ``STEMS`` letters, so that words of one stem share what is
+learned and languages with few labelled rows learn from few. Filters of several
+widths run over the whole text; each filter keeps its largest answer (max
+pooling); a logistic layer gives the probability. Max pooling sends the
+gradient of a document back through one place per filter, so a step touches a
+handful of embeddings.
+
+One coordinate of the embeddings starts from how much more often a word or stem
+is in toxic than in other documents of the training rows, which gives the
+filters a direction to begin with.
+
+Thresholds are calibrated by language on all labelled rows that the network did
+not learn from, through histograms of their scores. The language is inferred
+from the text itself (the best of the trigram profiles), never taken from a
+column. A language's threshold is shrunk towards that of all languages, the
+more the fewer rows it has; where no threshold reaches an even chance of being
+right, it is ``STRICT``. The published score is the probability with its log
+odds moved by those of the threshold, so that 0.5 is the threshold in every
+language.
+
+The network learns from a bounded sample: three quarters of about ``SAMPLE``
+labelled documents chosen by a hash of the doc_id, alike on every run, one row
+of each doc_id and none of more than ``SAMPLE_CHARS`` characters. Their hashed
+words come to the driver, which trains; scoring runs on the executors over
+whole texts.
 
 Defined results: a null or wordless text gets the score of an empty one; with
 no labelled rows, or labels of one kind only, every score is 0; a null label
-teaches nothing; repeated rows are scored one by one.
+teaches nothing, and neither does a doc_id with both labels; repeated rows are
+scored one by one.
 """
 
 from __future__ import annotations
@@ -42,30 +49,36 @@ from . import language
 from .common import broadcast_if_small, ship
 
 SAMPLE = 6000
-BUCKETS = 1 << 15
+SAMPLE_CHARS = 200_000
+BUCKETS = 1 << 17
+#: Letters of the beginnings of a word that have embeddings of their own.
+STEMS = (2, 3, 4, 5, 6)
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 EPOCHS, RATE, DECAY = 8, 0.05, 1e-4
-#: Training rows per language's calibration below which its threshold is shrunk to the common one.
+#: Rows of a language's calibration at which its own threshold and the common one have equal weight.
 PRIOR_ROWS = 50
 STRICT = 0.98
+#: Parts of the histograms that thresholds are chosen from.
+BINS = 1000
 _WORDS = re.compile(r"[^\W_]+")
-_MEMO_ENTRIES = 200_000
+_MEMO_ENTRIES = 250_000
 
 
-class Hasher(dict):
-    """Bucket of a word; 0 is kept for padding."""
+def parts_of(word: str) -> list[int]:
+    """Buckets of a word and of its beginnings; 0 where it has none."""
+    names = [word, *(f"{word[:n]}-" if len(word) > n else "" for n in STEMS)]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 if x else 0 for x in names]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > _MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
-        return value
 
-    def tokens(self, text: str | None) -> np.ndarray:
-        found = _WORDS.findall(text.lower()) if text else []
-        out = np.fromiter(map(self.__getitem__, found), dtype=np.int32, count=len(found))
-        short = max(WIDTHS) - len(out)
-        return np.concatenate([out, np.zeros(short, dtype=np.int32)]) if short > 0 else out
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, filled up to the widest filter with empty ones."""
+    found = _WORDS.findall(text.lower()) if text else []
+    return found + [""] * (max(WIDTHS) - len(found))
+
+
+def tokens_of(text: str | None) -> np.ndarray:
+    """(words, 1 + len(STEMS)) buckets of a text."""
+    return np.array([parts_of(w) if w else [0] * (1 + len(STEMS)) for w in words_of(text)], dtype=np.int32)
 
 
 def _sigmoid(x):
@@ -94,7 +107,7 @@ class Network:
 
     def _pool(self, tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The largest answer of each filter, and where it was."""
-        x = self.embed[tokens]
+        x = self.embed[tokens].sum(axis=1)
         tops, places = [], []
         for w, f, b in zip(WIDTHS, self.filters, self.bias):
             n = len(tokens) - w + 1
@@ -131,8 +144,8 @@ class Network:
                     b = back[k * FILTERS : (k + 1) * FILTERS]
                     if not b.any():
                         continue
-                    rows = tokens[places[k][None, :] + np.arange(w)[:, None]]  # (w, FILTERS)
-                    x = self.embed[rows]  # (w, FILTERS, DIM)
+                    rows = tokens[places[k][None, :] + np.arange(w)[:, None]]  # (w, FILTERS, parts)
+                    x = self.embed[rows].sum(axis=2)  # (w, FILTERS, DIM)
                     step = x.transpose(0, 2, 1) * b + DECAY * f
                     pull = (f.transpose(0, 2, 1) * b[None, :, None]).reshape(-1, DIM)
                     g_filters[k] += step * step
@@ -140,32 +153,66 @@ class Network:
                     g_bias[k] += b * b
                     self.bias[k] -= RATE * b / np.sqrt(g_bias[k])
                     flat = rows.reshape(-1)
+                    pull = np.repeat(pull, rows.shape[2], axis=0)
                     np.add.at(g_embed, flat, pull * pull)
                     np.add.at(self.embed, flat, -RATE * pull / np.sqrt(g_embed[flat]))
-            self.embed[0] = 0
+                    self.embed[0] = 0
 
-    def tables(self) -> list[np.ndarray]:
-        """What a word adds to each filter at each place of it: (BUCKETS, FILTERS) a width and place."""
-        return [self.embed @ f[j] for w, f in zip(WIDTHS, self.filters) for j in range(w)]
+    def answers(self, tokens: np.ndarray) -> np.ndarray:
+        """What each word adds to each filter at each place of it."""
+        x = self.embed[tokens].sum(axis=1)
+        return np.concatenate([x @ f[j] for w, f in zip(WIDTHS, self.filters) for j in range(w)], axis=1)
 
-    def score(self, tokens: np.ndarray, tables: list[np.ndarray]) -> float:
+    def score(self, answers: np.ndarray) -> float:
+        """The probability, from the answers of a text's words."""
+        n = len(answers)
         tops, k = [], 0
         for w, b in zip(WIDTHS, self.bias):
-            n = len(tokens) - w + 1
-            conv = tables[k][tokens[:n]]
+            conv = answers[: n - w + 1, k : k + FILTERS]
             for j in range(1, w):
-                conv += tables[k + j][tokens[j : j + n]]
+                k += FILTERS
+                conv = conv + answers[j : n - w + 1 + j, k : k + FILTERS]
+            k += FILTERS
             tops.append(conv.max(axis=0) + b)
-            k += w
         return float(_sigmoid(np.maximum(np.concatenate(tops), 0) @ self.out + self.const))
 
 
+class Scorer:
+    """Scores texts; the answers of each distinct word are made once and kept in a table."""
+
+    def __init__(self, network: Network):
+        self.network = network
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, FILTERS * sum(WIDTHS)), dtype=np.float32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows for new words; one that is empty has none of its own answers."""
+        first, last = len(self.rows), len(self.rows) + len(words)
+        while last > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        buckets = np.array([parts_of(w) if w else [0] * (1 + len(STEMS)) for w in words], dtype=np.int32)
+        for at in range(0, len(words), 1 << 12):
+            self.table[first + at : min(last, first + at + (1 << 12))] = self.network.answers(buckets[at : at + (1 << 12)])
+        self.rows.update(zip(words, range(first, last)))
+
+    def score(self, text: str | None) -> float:
+        words = words_of(text)
+        if len(self.rows) > _MEMO_ENTRIES:
+            self.rows.clear()
+        new = set(words).difference(self.rows)
+        if new:
+            self._learn(sorted(new))
+        rows = np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.network.score(self.table[rows])
+
+
 def _odds(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Smoothed log odds of a word's document rate in toxic against other rows, scaled to about 1."""
     seen = np.zeros((2, BUCKETS))
     for tokens, y in zip(docs, labels):
         seen[int(y), np.unique(tokens)] += 1
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], dtype=float)
+    seen[:, 0] = 0
     rate = (seen + 2.0 * (seen.sum(axis=0) / n.sum())[None, :] + 0.5) / (n + 3.0)[:, None]
     return (np.log(rate[1] / rate[0]) / 3).astype(np.float32)
 
@@ -181,17 +228,14 @@ class Classifier:
         return self.thresholds.get(lang, self.common)
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold with the best F1 among those that are right at least every second time."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    n = np.arange(1, len(order) + 1)
-    f1 = np.where(2 * hits >= n, 2 * hits / (n + max(labels.sum(), 1)), 0)
-    if not len(f1) or f1.max() <= 0:
+def _best_threshold(hits: np.ndarray, others: np.ndarray) -> float:
+    """The threshold with the best F1 among those that are right at least every second time, from counts by score in ``BINS`` parts."""
+    right, n = np.cumsum(hits[::-1])[::-1], np.cumsum((hits + others)[::-1])[::-1]
+    f1 = np.where((2 * right >= n) & (right > 0), 2 * right / np.maximum(n + hits.sum(), 1), 0)
+    if f1.max() <= 0:
         return STRICT
-    k = int(f1.argmax())
-    following = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float(min(max((scores[order[k]] + following) / 2, 0.02), STRICT))
+    best = np.flatnonzero(f1 == f1.max())  # parts without scores between: the middle of them
+    return float(min(max((best[0] + best[-1]) / 2 / BINS, 0.02), STRICT))
 
 
 def single_language(profiles: language.Profiles, text: str | None) -> str:
@@ -209,38 +253,49 @@ def fit(docs: DataFrame, labels: DataFrame, profiles: language.Profiles, sample:
     """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where("toxic IN (0, 1)").select("doc_id", "toxic")
+    known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     n = known.count()
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(4)) == 0
-    drawn = known.where(place < F.lit(min(1.0, sample / max(n, 1))))
-    chosen = docs.join(broadcast_if_small(drawn), "doc_id").select("doc_id", "text", "toxic", fold.alias("fold"))
-    shared = spark.sparkContext.broadcast(profiles)
+    drawn = (place < F.lit(min(1.0, sample / max(n, 1)))) & ~fold
+    chosen = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(broadcast_if_small(known.where(drawn)), "doc_id")
+    # one row of each doc_id, the same on every run
+    chosen = chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, model = Hasher(), shared.value
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [words.tokens(t).tobytes() for t in b["text"]], "lang": [single_language(model, t) for t in b["text"]], "toxic": b["toxic"], "fold": b["fold"]})
-
-    rows = chosen.mapInPandas(hashed, "doc_id long, tokens binary, lang string, toxic int, fold boolean").toPandas()
-    rows = rows.sort_values(["doc_id", "tokens"], kind="stable")  # the order of partitions must not matter
-    docs = [np.frombuffer(t, dtype=np.int32) for t in rows["tokens"]]
-    labels, held = rows["toxic"].to_numpy(dtype=np.int64), rows["fold"].to_numpy(dtype=bool)
-    learn = np.flatnonzero(~held)
-    if not len(learn) or labels[learn].min() == labels[learn].max():
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [tokens_of(t).tobytes() for t in b["text"]], "toxic": b["toxic"]})
+
+    rows = chosen.mapInPandas(hashed, "doc_id long, tokens binary, toxic int").toPandas()
+    rows = rows.sort_values("doc_id", kind="stable")  # the order of partitions must not matter
+    own = [np.frombuffer(t, dtype=np.int32).reshape(-1, 1 + len(STEMS)) for t in rows["tokens"]]
+    truth = rows["toxic"].to_numpy(dtype=np.int64)
+    if not len(own) or truth.min() == truth.max():
         return Classifier(None, profiles, {}, 0.5)
-    own = [docs[i] for i in learn]
-    network = Network(_odds(own, labels[learn]))
-    network.train(own, labels[learn].astype(np.float32))
-    tables = network.tables()
-    checked = np.flatnonzero(held) if held.any() else learn
-    scores, truth, langs = np.array([network.score(docs[i], tables) for i in checked]), labels[checked], rows["lang"].to_numpy()[checked]
-    common = _best_threshold(scores, truth)
+    network = Network(_odds(own, truth))
+    network.train(own, truth.astype(np.float32))
+
+    shared = spark.sparkContext.broadcast((network, profiles))
+
+    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, langs = shared.value
+        scorer = Scorer(model)
+        for b in batches:
+            found = [min(int(scorer.score(t) * BINS), BINS - 1) for t in b["text"]]
+            yield pd.DataFrame({"lang": [single_language(langs, t) for t in b["text"]], "bin": found, "toxic": b["toxic"]})
+
+    others = docs.join(broadcast_if_small(known.where(~drawn)), "doc_id").select("text", "toxic")
+    counts = others.mapInPandas(bins, "lang string, bin int, toxic int").groupBy("lang", "bin", "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    table: dict[str, np.ndarray] = {}
+    for lang, i, y, k in counts.itertuples(index=False):
+        table.setdefault(lang, np.zeros((2, BINS)))[y, i] = k
+    whole = sum(table.values(), np.zeros((2, BINS)))
+    common = _best_threshold(whole[1], whole[0]) if table else 0.5
     thresholds = {}
-    for lang in sorted(set(langs)):
-        at = langs == lang
-        weight = at.sum() / (at.sum() + PRIOR_ROWS)
-        thresholds[lang] = float(_sigmoid(weight * _logit(_best_threshold(scores[at], truth[at])) + (1 - weight) * _logit(common)))
+    for lang, found in sorted(table.items()):
+        weight = found.sum() / (found.sum() + PRIOR_ROWS)
+        own_best = _best_threshold(found[1], found[0])
+        thresholds[lang] = float(_sigmoid(weight * _logit(own_best) + (1 - weight) * _logit(common)))
     return Classifier(network, profiles, thresholds, common)
 
 
@@ -252,11 +307,11 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", keep: tuple[st
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        words, tables = Hasher(), own.network.tables() if own.network else []
+        scorer = Scorer(own.network) if own.network else None
         for batch in batches:
             raw, moved = [], []
             for t in batch:
-                p = own.network.score(words.tokens(t), tables) if own.network else 0.0
+                p = scorer.score(t) if scorer else 0.0
                 raw.append(p)
                 moved.append(float(_sigmoid(_logit(p) - _logit(own.threshold(single_language(own.profiles, t))))) if own.network else 0.0)
             yield pd.DataFrame({"score": moved, "probability": raw}, dtype="float64")

@@ -1,5 +1,9 @@
+import itertools
+import random
 import zlib
 
+import numpy as np
+
 from blurframe.llm import language, queries
 
 WORDS = {"en": "the of and to in that with from this have", "de": "der die und ist nicht auf mit eine werden auch", "fr": "le les des une est dans pour que avec sont"}
@@ -30,6 +34,47 @@ def test_mixture_names_both_languages(docs):
     assert list(profiles.mixture(texts[2])) == [langs[2]]
 
 
+def many_languages(n=9):
+    rng = random.Random(8)
+    words = {f"l{i}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(12)] for i in range(n)}
+    counts = np.zeros((n, language.BUCKETS))
+    for i, lang in enumerate(sorted(words)):
+        at, c = language.features(" ".join(rng.choice(words[lang]) for _ in range(3000)))
+        counts[i, at] = c
+    return words, language.Profiles.fit(sorted(words), counts)
+
+
+def test_a_mixture_of_many_languages():
+    words, profiles = many_languages()
+    rng = random.Random(1)
+    for n in (1, 3, 7, 9):
+        langs = rng.sample(sorted(words), n)
+        found = profiles.mixture(" ".join(rng.choice(words[lang]) for lang in langs for _ in range(60)))
+        assert set(found) == set(langs) and all(abs(s - 1 / n) < 0.08 for s in found.values())
+
+
+def test_the_set_is_that_of_all_sets_compared():
+    """Against an independent expectation-maximisation for every set of languages."""
+    words, profiles = many_languages(4)
+    rng = random.Random(2)
+    for _ in range(12):
+        text = " ".join(rng.choice(words[rng.choice(sorted(words)[: rng.randrange(1, 5)])]) for _ in range(rng.randrange(3, 60)))
+        at, counts = language.features(text)
+        like = np.exp(profiles.log[at])
+        values = {}
+        for k in range(1, 5):
+            for some in itertools.combinations(range(4), k):
+                share = np.full(k, 1 / k)
+                for _ in range(300):
+                    resp = like[:, some] * share
+                    resp /= resp.sum(axis=1, keepdims=True)
+                    share = counts @ resp / counts.sum()
+                values[some] = counts @ np.log(like[:, some] @ share) - (k - 1) * 0.5 * np.log(max(counts.sum(), 2)) * language.ORDER
+        best = max(values, key=values.__getitem__)
+        found = tuple(sorted(profiles.languages.index(x) for x in profiles.mixture(text)))
+        assert values[found] >= values[best] - 0.5
+
+
 def test_labels_of_held_out_rows_teach_nothing(docs):
     texts, langs = corpus()
     wrong = ["xx" if zlib.crc32(str(i).encode()) % 4 == 2 else lang for i, lang in enumerate(langs)]
