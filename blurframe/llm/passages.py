@@ -71,12 +71,14 @@ _WIDTH = 2 * AROUND + SHINGLE
 BLOCK = 1 << 14
 #: Members of a part of a group that are compared pair by pair.
 SMALL = 16
+#: Members of a component that others are tried with first.
+_PROBES = 8
 #: Pairs that are verified at once, and members that are gathered before.
 _CHUNK = 1 << 12
 #: Texts that are cut into windows at once.
 _TEXTS = 32
 #: Pairs that are aligned with shifts at once.
-_SHIFTED = 1 << 7
+_SHIFTED = 1 << 8
 #: Values of the fixed-size prefilter of texts that are fetched for verification.
 FETCH_BUCKETS = 1 << 17
 #: What a shingle that only one text has costs, when a shared one scores 1: shared / union >= SIMILARITY.
@@ -210,7 +212,7 @@ def windows(texts: DataFrame) -> DataFrame:
 def match(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     """Whether words around aligned centres (one pair a row) have a near passage without a shift that holds the centre.
 
-    Returns (found, first shingle, last shingle, shared shingles, whether a run of ``RUN`` equal shingles holds the centre's shingle just once).
+    Returns (found, first shingle, last shingle, shared shingles, whether the run of equal shingles holds the centre's shingle just once).
     """
     equal = (x == y) & (x != 0)
     shared = equal[:, : 2 * AROUND + 1].copy()
@@ -243,7 +245,7 @@ def match(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
         again &= x[:, j : j + 2 * AROUND + 1] == x[:, AROUND + j, None]
     place = np.arange(2 * AROUND + 1)
     once = (again & (place > AROUND - ahead[:, None]) & (place < AROUND + behind[:, None])).sum(axis=1) == 1
-    return found, AROUND - k, AROUND + far, (total[row, k] + 8 * length) // 9, (behind + ahead > RUN) & once
+    return found, AROUND - k, AROUND + far, (total[row, k] + 8 * length) // 9, once
 
 
 def _aligned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -313,6 +315,39 @@ def match_shifted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     return found, AROUND - lx, AROUND + rx, AROUND - ly, AROUND + ry, shared
 
 
+def run_around(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether ``RUN`` equal shingles in a row hold the centre, for words around aligned centres, one pair a row."""
+    lo, hi = AROUND - RUN + 1, AROUND + SHINGLE + RUN - 1
+    equal = (x[..., lo:hi] == y[..., lo:hi]) & (x[..., lo:hi] != 0)
+    before = np.logical_and.accumulate(equal[..., RUN - 2 :: -1], axis=-1).sum(axis=-1)
+    after = np.logical_and.accumulate(equal[..., RUN - 1 :], axis=-1).sum(axis=-1)
+    return (after >= SHINGLE) & (before + after >= RUN + SHINGLE - 1)
+
+
+def _numbered(words: np.ndarray) -> np.ndarray:
+    """Sorted codes of each row's shingles, where the n-th of equal ones has a code of its own; 0 beyond the text."""
+    tokens = shingle_hashes(words.astype(np.uint64))
+    tokens[(words[:, : tokens.shape[1]] == 0) | (words[:, SHINGLE - 1 :] == 0)] = 0
+    tokens.sort(axis=1)
+    place = np.arange(tokens.shape[1])
+    new = np.ones(tokens.shape, dtype=bool)
+    new[:, 1:] = tokens[:, 1:] != tokens[:, :-1]
+    nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    return np.where(tokens > 0, _mix(tokens + nth.astype(np.uint64) * _PRIME[1]), 0)
+
+
+def shared_elsewhere(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two texts share ``_SHARED`` shingles around aligned centres, and some of them at places that are not aligned."""
+    tokens = 2 * AROUND + 1
+    aligned = (x == y) & (x != 0)
+    diagonal = aligned[:, :tokens].copy()
+    for j in range(1, SHINGLE):
+        diagonal &= aligned[:, j : j + tokens]
+    both = np.sort(np.concatenate([_numbered(x), _numbered(y)], axis=1), axis=1)
+    count = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0)).sum(axis=1)
+    return (count >= _SHARED) & (count > diagonal.sum(axis=1))
+
+
 class _Links:
     """Members of groups, and which of them are linked. A member is a place of a text with the words around it."""
 
@@ -348,11 +383,14 @@ class _Links:
         meet = np.minimum(self.before[x], self.before[y]) + np.minimum(self.after[x], self.after[y]) + 1 >= RUN
         meet &= self.sig[x] != self.sig[y]
         x, y = x[meet], y[meet]
+        # a near passage has a run of equal shingles; it is found at the centre of that run
+        meet = [run_around(self.words[x[at : at + _CHUNK]], self.words[y[at : at + _CHUNK]]) for at in range(0, len(x), _CHUNK)]
+        if meet:
+            x, y = x[np.concatenate(meet)], y[np.concatenate(meet)]
         shifted = [np.zeros((0, 2), dtype=np.int64)]
         for at in range(0, len(x), _CHUNK):
             p, q = x[at : at + _CHUNK], y[at : at + _CHUNK]
             found, lo, hi, shared, single = match(self.words[p], self.words[q])
-            # a near passage with a shift has its run of equal shingles around the centre, or is found at the centre of that run
             other = ~found & single
             shifted.append(np.stack([p[other], q[other]], axis=1))
             i, j, lo, hi, shared = p[found], q[found], lo[found], hi[found] + 1, shared[found]
@@ -361,6 +399,8 @@ class _Links:
         x, y = self.apart(*np.concatenate(shifted).T)
         for at in range(0, len(x), _SHIFTED):
             p, q = self.apart(x[at : at + _SHIFTED], y[at : at + _SHIFTED])
+            on = shared_elsewhere(self.words[p], self.words[q])
+            p, q = p[on], q[on]
             if not len(p):
                 continue
             found, *places, shared = match_shifted(self.words[p], self.words[q])
@@ -439,6 +479,13 @@ def _link_crowd(links: _Links, part: np.ndarray) -> None:
     Passages share ``_SHARED`` shingles, so of each member's shingles, the
     rarest of the crowd first, all but ``_SHARED - 1`` lead to every partner.
     """
+    # members with the same words around them: two, of different texts, stand for all
+    alike = np.unique(np.ascontiguousarray(links.words[part]).view(f"V{4 * _WIDTH}").ravel(), return_index=True, return_inverse=True)
+    first = part[alike[1]][alike[2].ravel()]
+    links.attempt(*links.apart(first, part))
+    other = np.flatnonzero(links.sig[first] != links.sig[part])
+    second = part[other[np.unique(first[other], return_index=True)[1]]]
+    part = np.unique(np.concatenate([first, second]))
     while True:
         root = links.roots(part)
         if (root == root[0]).all():
@@ -480,6 +527,18 @@ def _link_crowd(links: _Links, part: np.ndarray) -> None:
     x, y = x[by], y[by]
     first = np.append(True, x[1:] != x[:-1])[: len(x)]
     links.attempt(part[x[first]], part[y[first]])
+    # as long as it links most, the others with some of the largest component
+    for turn in range(n):
+        names, number = np.unique(links.roots(part), return_inverse=True)
+        most = number == np.bincount(number).argmax()
+        rest, some = np.flatnonzero(~most), np.flatnonzero(most)
+        if not len(rest):
+            return
+        step = -(-len(some) // _PROBES)
+        some = some[turn % step :: step]
+        links.attempt(*links.apart(part[np.repeat(rest, len(some))], part[np.tile(some, len(rest))]))
+        if 2 * (len(names) - len(np.unique(links.roots(part)))) < len(names):
+            break
     # then those of every lead that are apart still, from the smaller sides
     root = links.roots(part)
     partners: dict[int, list[np.ndarray]] = {}
@@ -492,16 +551,22 @@ def _link_crowd(links: _Links, part: np.ndarray) -> None:
                 partners.setdefault(i, []).append(mine)
     mark = np.zeros(int(table.max()) + 1, dtype=bool)
     todo = [np.zeros((0, 2), dtype=np.int64)]
-    for at, i in enumerate(sorted(partners), 1):
-        others = np.unique(np.concatenate(partners[i]))
-        others = others[links.roots(part[others]) != links.find(int(part[i]))]
+    for i in sorted(partners):
+        met = root != root[i]
+        shares = np.zeros(n, dtype=bool)
+        for mine in partners.pop(i):
+            shares[mine] = True
+        others = np.flatnonzero(shares & met)
+        others = others[links.sig[part[others]] != links.sig[part[i]]]
+        others = others[run_around(words[others], words[i])]
         mark[table[i, : size[i]]] = True
         others = others[mark[table[others]].sum(axis=1) >= _SHARED]
         mark[table[i, : size[i]]] = False
         todo.append(np.stack([np.full(len(others), part[i]), part[others]], axis=1))
-        if at == len(partners) or sum(map(len, todo)) >= _CHUNK:
+        if not partners or sum(map(len, todo)) >= _CHUNK:
             links.attempt(*links.apart(*np.concatenate(todo).T))
             todo = todo[:1]
+            root = links.roots(part)
 
 
 # --- tables ----------------------------------------------------------------
