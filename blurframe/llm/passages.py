@@ -639,15 +639,15 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _link_table(pa.Table.from_batches(held))
 
 
-def link(members: DataFrame, texts: DataFrame) -> DataFrame:
+def link(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """``LINK_SCHEMA`` rows: near passages of two texts, by which all near passages around the centres of ``members`` are linked.
 
-    ``members`` has the columns of ``_MEMBER`` and sig; ``texts`` has sig, doc_id
-    and text.
+    ``members`` has the columns of ``_MEMBER`` and sig; ``reps(sig, doc_id)`` names
+    the row of ``texts(sig, doc_id, text)`` that stands for a signature.
     """
     spark = members.sparkSession
-    own = members.groupBy("sig").agg(F.collect_list(F.struct(*_MEMBER)).alias("own"))
-    around = surroundings(texts.join(own, "sig"))
+    own = members.groupBy("sig").agg(F.collect_list(F.struct(*_MEMBER)).alias("own")).join(reps, "sig")
+    around = surroundings(texts.join(own, ["sig", "doc_id"]))
     # beyond a block, every two blocks of a group meet
     sizes = members.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     none = F.lit(0)
@@ -704,24 +704,24 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # min-hashes that two different texts have, with equal shingles on a side; copies count as one text
     two = [F.min("sig").alias("s"), F.max("sig").alias("t")]
     shared = every.groupBy("value").agg(*two).where("s <> t").select("value")
-    met = materialize(every.join(shared, "value"), "met")
+    whole = materialize(every.join(shared, "value"), "met")
     drop_scratch(every)
-    met = met.dropDuplicates(["value", "sig", "c"])
+    met = whole.dropDuplicates(["value", "sig", "c"])
 
     def beside(side: str) -> DataFrame:
         groups = met.where(f"{side} <> 0").groupBy("value", side).agg(*two).where("s <> t").select("value", side)
         return met.join(groups, ["value", side]).select(*met.columns)
 
     members = materialize(beside("left").unionByName(beside("right")).dropDuplicates(["value", "sig", "c"]), "members")
+    drop_scratch(whole)
 
     # one text of each signature that is needed; the prefilter has a fixed size and only saves shuffling texts that are not
     named = materialize(members.select("sig").distinct(), "named")
     firsts = materialize(own.groupBy("sig").agg(F.min("doc_id").alias("rep_doc_id"), F.max("doc_id").alias("last")), "firsts")
     bucket = F.pmod(F.col("sig"), F.lit(FETCH_BUCKETS))
     near = own.withColumn("bucket", bucket).join(F.broadcast(named.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
-    reps = firsts.join(named, "sig", "left_semi").select("sig", F.col("rep_doc_id").alias("doc_id"))
-    texts = near.join(reps, ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"])
-    links = materialize(link(members, texts), "links")
+    reps = firsts.select("sig", F.col("rep_doc_id").alias("doc_id"))
+    links = materialize(link(members, reps, near), "links")
     drop_scratch(members)
     passages = passages_of(links).withColumn("kind", F.lit("passage"))
 
