@@ -27,9 +27,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session has none (tests, local mode), a folder below the warehouse."""
+    """``spark.checkpoint.dir``; only in local mode, where it may be unset, a folder below the warehouse.
+
+    On a cluster a folder that is not shared would lose data, so there the
+    setting is required.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return found.rstrip("/")
 
