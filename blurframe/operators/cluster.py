@@ -9,14 +9,14 @@ Two ways to the same kind of result, (row_id, group_id):
     for tables of moderate size or a large number of centers.
 ``cluster_blocks``  for any size. Rows are range-partitioned by their
     relational values into blocks, and every block is clustered by itself with
-    the serial greedy method. One shuffle, work in proportion to rows times
-    block size, no loop on the driver.
+    the serial greedy method. Work in proportion to rows times block size, no
+    loop on the driver.
+
+``serial_groups`` is the serial method itself, for small tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,8 +27,11 @@ from ..scratch import broadcast_if_small, drop_scratch, materialize, ship
 from .encode import Hierarchies, domains, with_levels
 from .generalize import group_table, relational_columns
 from .neighbors import PairCost, arrays, nearest
+from .order import numbered
 
 BLOCK_ROWS = 2000
+#: Rows of a table that is clustered serially, in one task.
+SERIAL_ROWS = 20_000
 
 
 def next_centers(rows: DataFrame, schema: RTSchema, n: int) -> DataFrame:
@@ -139,7 +142,7 @@ def serial_clusters(rows: dict[str, np.ndarray], cost: PairCost, k: int, schema:
                     hull[c][g] = x if hull[c][g] < 0 else h.lca(int(hull[c][g]), int(x))
         for i in free:
             row = take(np.array([i]))
-            best = int(np.argmin(cost(hull, row)[:, 0] * (hull["n_rows"] + 1)))
+            best = int(np.argmin(cost(hull, row)[:, 0] * hull["n_rows"]))
             group[i] = names[best]
             hull["n_rows"][best] += 1
             for c in rows:
@@ -153,7 +156,13 @@ def serial_clusters(rows: dict[str, np.ndarray], cost: PairCost, k: int, schema:
 
 
 def cluster_blocks(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies, params: Params, domain: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, serial: bool = False) -> DataFrame:
-    """(row_id, group_id) by blocks of near values; fewer rows than k are an error."""
+    """(row_id, group_id) by blocks of near values; fewer rows than k are an error.
+
+    Blocks are cut at exact places of the order by relational values and
+    row_id, so they do not depend on how the rows are dealt out. A block has
+    ``block_rows`` rows or more, and less than twice as many. ``serial`` takes
+    a block's rows by row_id, and the weighted loss.
+    """
     spark = encoded.sparkSession
     ship(spark)
     rows = with_levels(encoded.select("row_id", *relational_columns(schema)), schema, hierarchies)
@@ -163,29 +172,21 @@ def cluster_blocks(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchie
     cost = PairCost.make(schema, hierarchies, domain, serial=serial)
     order = [f"c_{c}_l{i}" for c in schema.categorical for i in range(hierarchies[c].height + 1)]
     order += [f"n_{x}_lo" for x in schema.numeric] + ["row_id"]
-    blocks = max(1, n // max(block_rows, 2 * params.k))
+    size = max(block_rows, 2 * params.k)
     k = params.k
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            while len(held) >= 2 * block_rows:
-                yield one(held.iloc[:block_rows])
-                held = held.iloc[block_rows:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield one(held)
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = arrays(pdf, schema, "row_id")
+        data = arrays(pdf.sort_values("row_id" if serial else "place", kind="stable"), schema, "row_id")
         return pd.DataFrame({"row_id": data["id"], "group_id": serial_clusters(data, cost, k, schema, hierarchies)})
 
-    dealt = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order).select("row_id", *relational_columns(schema))
-    out = materialize(dealt.mapInPandas(run, "row_id long, group_id long"), "blocks")
-    # a partition with fewer than k rows makes no group; its rows (fewer than k for each block) join the nearest one
-    alone = out.where("group_id < 0").select("row_id")
-    if alone.isEmpty():
-        return out
-    base = encoded.select("row_id", *relational_columns(schema))
-    grouped = base.join(out.where("group_id >= 0"), "row_id")
-    return out.where("group_id >= 0").unionByName(attach_leftovers(base.join(alone, "row_id", "left_semi"), grouped, schema, hierarchies, cost))
+    placed = numbered(rows, order).select("row_id", *relational_columns(schema), F.col("place"))
+    block = F.least(F.floor(F.col("place") / size), F.lit(max(n // size, 1) - 1)).alias("block")
+    return materialize(placed.withColumn("block", block).groupBy("block").applyInPandas(one, "row_id long, group_id long"), "blocks")
+
+
+def serial_groups(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies, params: Params, domain: dict[str, float] | None = None) -> DataFrame:
+    """(row_id, group_id) by the serial method over the whole table; more than ``SERIAL_ROWS`` rows are an error."""
+    n = encoded.count()
+    if n > SERIAL_ROWS:
+        raise SchemaError(f"over {SERIAL_ROWS} rows: use cluster_blocks or cluster_rounds")
+    return cluster_blocks(encoded, schema, hierarchies, params, domain, block_rows=max(n, 1), serial=True)

@@ -292,6 +292,33 @@ def ul_sets(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return counted.select(*keys, value.cast("decimal(38,0)").alias("ul")).groupBy(*keys).agg(F.sum("ul").cast("decimal(38,0)").alias("ul"))
 
 
+def ul_serial(anonymized: DataFrame, hierarchy: Hierarchy, n_rows: int) -> DataFrame:
+    """(group_id, ul): item loss in the serial scaling, as decimal text.
+
+    Each row's loss is divided by the largest possible one, rounded up to 100
+    places (200 for sets), and a group's sum by the number of rows of the table,
+    rounded up to 200 places.
+    """
+    ship(anonymized.sparkSession)
+    sets = "item_sets" in anonymized.columns
+    most, places = 2**hierarchy.n_leaves - 1, 200 if sets else 100
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from decimal import ROUND_UP, Decimal, localcontext
+
+        with localcontext() as ctx:
+            ctx.prec = 300 + len(str(most))
+            total = Decimal(0)
+            for row, n in zip(pdf["row"], pdf["n"]):
+                loss = sum(2 ** len(s) - 1 for s in row if len(s) > 1) if sets else sum(hierarchy.ul_weight(int(x)) for x in row)
+                total += int(n) * (Decimal(loss) / most).quantize(Decimal(1).scaleb(-places), rounding=ROUND_UP)
+            share = (total / n_rows).quantize(Decimal(1).scaleb(-200), rounding=ROUND_UP)
+        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "ul": [format(share, "f")]})
+
+    rows = anonymized.select("group_id", F.col("item_sets" if sets else "items").alias("row"))
+    return rows.groupBy("group_id", "row").agg(F.count(F.lit(1)).alias("n")).groupBy("group_id").applyInPandas(run, "group_id long, ul string")
+
+
 def ul_readable(total: int, item_leaves: int, n_rows: int):
     """Total item loss as a share of the largest possible, to five places, rounded up."""
     from decimal import ROUND_CEILING, Decimal, localcontext

@@ -8,7 +8,11 @@ relabelled once, at the end.
 
 Serial: :class:`SerialMerger` merges one pair at a time with one of six
 combinations of partner order and acceptance rule. It holds the groups on the
-driver and refuses more than ``SERIAL_GROUPS`` of them.
+driver and refuses more than ``SERIAL_GROUPS`` of them, or more than
+``SERIAL_BASKETS`` distinct baskets in them.
+
+Item losses are whole numbers of any size: they are made in Python and kept as
+text, and only their ratios, which order the candidates, are doubles.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ from collections import Counter
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..hierarchy import Hierarchy
-from ..functions import ncp_ul_ratio
+from ..functions import gain, ncp_ul_ratio
 from ..schema import Params, RTSchema, SchemaError
 from ..scratch import materialize, ship
 from .encode import Hierarchies
@@ -32,8 +37,13 @@ from .items import HierarchyCut, SetMerge, _distinct_baskets, _rows
 from .neighbors import PairCost, arrays, nearest
 
 SERIAL_GROUPS = 5000
+SERIAL_BASKETS = 500_000
 #: Rounds whose gains set the bound under which merging stops: a tenth of their mean.
 BOUND_ROUNDS = 10
+#: Sets that are compared with all others at once.
+_BTD_ROWS = 512
+#: Digits of a whole number that are summed at once.
+_DIGITS = 15
 
 
 def class_ul(baskets: list[tuple[tuple[int, ...], int]], hierarchy: Hierarchy, params: Params) -> int:
@@ -56,8 +66,20 @@ def _ul_of_groups(baskets: DataFrame, key: str, hierarchy: Hierarchy, params: Pa
 
 
 def group_ul(encoded: DataFrame, hierarchy: Hierarchy, params: Params) -> DataFrame:
-    """(group_id, ul): each group's item loss once anonymized, as decimal(38,0)."""
-    return _ul_of_groups(_distinct_baskets(encoded), "group_id", hierarchy, params).withColumn("ul", F.col("ul").cast("decimal(38,0)"))
+    """(group_id, ul): each group's item loss once anonymized; a whole number of any size, as text."""
+    return _ul_of_groups(_distinct_baskets(encoded), "group_id", hierarchy, params)
+
+
+def exact_total(losses: DataFrame, column: str = "ul") -> int:
+    """The sum of whole numbers that are given as text, exactly: their digits are summed in parts."""
+    part = f"cast(reverse(substring(reverse({column}), cast(i * {_DIGITS} + 1 as int), {_DIGITS})) as decimal(38,0))"
+    parts = F.posexplode(F.expr(f"transform(sequence(0, cast((length({column}) - 1) div {_DIGITS} as int)), i -> {part})"))
+    rows = losses.select(parts).groupBy("pos").agg(F.sum("col").alias("s")).collect()
+    return sum(int(r["s"]) * 10 ** (_DIGITS * r["pos"]) for r in rows)
+
+
+def _difference(merged: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([str(int(m) - int(a) - int(b)) for m, a, b in zip(merged, one, other)], dtype=object)
 
 
 def lowest(groups: DataFrame, by: str, n: int) -> DataFrame:
@@ -84,7 +106,7 @@ def _halve(merges: int, groups: int) -> int:
 
 
 def merge_candidates(groups: DataFrame, baskets: DataFrame, centers: DataFrame, cost: PairCost, hierarchy: Hierarchy, params: Params, tree: int) -> DataFrame:
-    """(center, id, ncp_diff, ul_diff, merged_ul): the ``tree`` cheapest partners of each center, with exact item losses.
+    """(center, id, ncp_diff, ul_diff, merged_ul): the ``tree`` cheapest partners of each center, with exact item losses as text.
 
     ``groups`` has ncp and ul; ``baskets`` (group_id, items, n) the distinct
     item sets. Item losses are only made for partners that the relational
@@ -99,8 +121,7 @@ def merge_candidates(groups: DataFrame, baskets: DataFrame, centers: DataFrame,
     merged = _ul_of_groups(together, "pair", hierarchy, params)
     uls = groups.select("group_id", F.col("ul").alias("own"))
     out = short.join(merged, "pair").join(uls.withColumnsRenamed({"group_id": "center", "own": "ul_c"}), "center").join(uls.withColumnsRenamed({"group_id": "id", "own": "ul_i"}), "id")
-    merged_ul = F.col("ul").cast("decimal(38,0)")
-    return out.select("center", "id", "ncp_diff", (merged_ul - F.col("ul_c") - F.col("ul_i")).alias("ul_diff"), merged_ul.alias("merged_ul"))
+    return out.select("center", "id", "ncp_diff", F.pandas_udf(_difference, "string")("ul", "ul_c", "ul_i").alias("ul_diff"), F.col("ul").alias("merged_ul"))
 
 
 def merge_rounds(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies, params: Params, domain: dict[str, float], log: MergeLog | None = None, max_rounds: int | None = None) -> DataFrame:
@@ -115,18 +136,17 @@ def merge_rounds(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies,
     groups = group_ncp(group_table(encoded, schema, hierarchies), schema, hierarchies, domain)
     groups = materialize(groups.join(group_ul(encoded, h, params), "group_id"), "groups")
     baskets = materialize(_distinct_baskets(encoded), "baskets")
-    total = groups.agg(F.sum("ncp").alias("ncp"), F.sum("ul").alias("ul"), F.sum("n_rows").alias("n"), F.count(F.lit(1)).alias("g")).first()
-    ncp, ul, n, count = float(total["ncp"] or 0), int(total["ul"] or 0), int(total["n"] or 0), total["g"]
+    total = groups.agg(F.sum("ncp").alias("ncp"), F.sum("n_rows").alias("n"), F.count(F.lit(1)).alias("g")).first()
+    ncp, ul, n, count = float(total["ncp"] or 0), exact_total(groups), int(total["n"] or 0), total["g"]
     rd, td = params.scaled(n, schema.n_relational, h.n_leaves)
     new_name: dict[int, int] = {}
     tree, merges, done, bound = params.min_tree, params.max_merges, 0, 0.0
     while count > 1 and (max_rounds is None or done < max_rounds):
         merges = _halve(merges, count)
-        ranked = groups.withColumn("ratio", ncp_ul_ratio(F.col("ncp"), F.col("ul")))
+        ranked = groups.withColumn("ratio", ncp_ul_ratio(F.col("ncp"), F.col("ul").cast("double")))
         centers = materialize(lowest(ranked, "ratio", merges), "centers")
-        found = merge_candidates(groups, baskets, centers, cost, h, params, tree).where("ul_diff < 0").toPandas()
-        free = 1e11 if params.mode == "reference" else -1e11
-        found["gain"] = [float(u) / d if d != 0 else free for u, d in zip(found["ul_diff"], found["ncp_diff"])]
+        found = merge_candidates(groups, baskets, centers, cost, h, params, tree).where("ul_diff LIKE '-%'")
+        found = found.withColumn("gain", gain(F.col("ul_diff"), F.col("ncp_diff"), params.mode)).toPandas()
         best = found.sort_values(["gain", "id"]).drop_duplicates("center")
         gained, mapping = 0, {}
         for r in best.itertuples():
@@ -146,7 +166,7 @@ def merge_rounds(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies,
             moved = encoded.sparkSession.createDataFrame([(int(a), int(b)) for a, b in mapping.items()], "group_id long, new_id long")
             new_ul = best[best["id"].isin(mapping)][["center", "merged_ul"]]
             fresh = encoded.sparkSession.createDataFrame([(int(c), str(u)) for c, u in new_ul.itertuples(index=False)], "group_id long, fresh string")
-            uls = groups.select("group_id", "ul").join(F.broadcast(moved), "group_id", "left_anti").join(F.broadcast(fresh), "group_id", "left").select("group_id", F.coalesce(F.col("fresh").cast("decimal(38,0)"), "ul").alias("ul"))
+            uls = groups.select("group_id", "ul").join(F.broadcast(moved), "group_id", "left_anti").join(F.broadcast(fresh), "group_id", "left").select("group_id", F.coalesce("fresh", "ul").alias("ul"))
             shape = merge_groups(groups.select("group_id", "n_rows", *relational_columns(schema)), F.broadcast(moved), schema, hierarchies)
             groups = materialize(group_ncp(shape, schema, hierarchies, domain).join(uls, "group_id"), "groups")
             named = baskets.join(F.broadcast(moved), "group_id", "left").select(F.coalesce("new_id", "group_id").alias("group_id"), "items", "n")
@@ -222,11 +242,23 @@ def btd_value(a: frozenset, b: frozenset) -> float:
 
 def btd_groups(a: Counter, b: Counter) -> float:
     """The largest distance between any two rows of the two groups together."""
-    sets = [frozenset(s) for s in (a + b)]
     whole = a + b
-    most = max((btd_value(x, y) for i, x in enumerate(sets) for y in sets[i + 1 :]), default=0.0)
-    same = max((btd_value(frozenset(s), frozenset(s)) for s, n in whole.items() if n > 1), default=0.0)
-    return max(most, same)
+    sets = sorted(whole)
+    column = {x: i for i, x in enumerate(sorted({x for s in sets for x in s}))}
+    holds = np.zeros((len(sets), max(len(column), 1)))
+    for r, s in enumerate(sets):
+        holds[r, [column[x] for x in s]] = 1
+    size = holds.sum(axis=1)
+    single = np.array([whole[s] == 1 for s in sets], dtype=bool)
+    most = 0.0
+    for at in range(0, len(sets), _BTD_ROWS):
+        both = holds[at : at + _BTD_ROWS] @ holds.T
+        every = size[at : at + _BTD_ROWS, None] + size[None, :]
+        far = (every - 2 * both + 1) * (every - both) / (both + 1)
+        own = np.arange(len(far))
+        far[own, at + own] = np.where(single[at : at + _BTD_ROWS], 0.0, far[own, at + own])  # a row has no distance to itself
+        most = max(most, float(far.max()))
+    return most
 
 
 def dense_ranks(values: dict[int, float]) -> dict[int, int]:
@@ -298,7 +330,8 @@ class SerialMerger:
         names: dict[int, int] = {}
         waiting = dict(loss)
         while len(groups) > 1 and waiting:
-            if self.bound == "ul" and sum(uls.values()) <= limit:
+            # reference mode looks at the bound after a merge only, strict mode before the first too
+            if self.bound == "ul" and (names or self.params.mode == "strict") and sum(uls.values()) <= limit:
                 break
             c = min(waiting, key=lambda i: (waiting[i], i))
             del waiting[c]
@@ -344,9 +377,12 @@ class SerialMerger:
         some = table.limit(SERIAL_GROUPS + 1).toPandas()
         if len(some) > SERIAL_GROUPS:
             raise SchemaError(f"over {SERIAL_GROUPS} groups: use merge_rounds or quick_merge")
+        distinct = _distinct_baskets(encoded).limit(SERIAL_BASKETS + 1).collect()
+        if len(distinct) > SERIAL_BASKETS:
+            raise SchemaError(f"over {SERIAL_BASKETS} distinct baskets of groups: use merge_rounds or quick_merge")
         data = arrays(some, self.schema, "group_id")
         baskets: dict[int, Counter] = {int(i): Counter() for i in data["id"]}
-        for r in _distinct_baskets(encoded).collect():
+        for r in distinct:
             baskets[r["group_id"]][tuple(r["items"])] += r["n"]
         groups = {
             int(i): _Group(int(data["n_rows"][j]), {x: float(data[f"n_{x}_lo"][j]) for x in self.schema.numeric}, {x: float(data[f"n_{x}_hi"][j]) for x in self.schema.numeric}, {c: int(data[f"c_{c}"][j]) for c in self.schema.categorical}, baskets[int(i)])

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster, items, merge
-from ..operators.encode import Hierarchies, domains
+from ..operators.encode import Hierarchies, decode, domains, encode
 from ..operators.generalize import coalesce_classes, dataset_ncp, generalize, group_ncp, group_table
 from ..operators.neighbors import PairCost
 from ..schema import Params, RTSchema, SchemaError
-from ..scratch import materialize
+from ..scratch import materialize, scratch_path
+from ..sources import text
 
 
 @dataclass
@@ -85,23 +86,48 @@ def anonymize(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies, pa
     return Result(out, n, int(total["n_groups"]), float(total["ncp_readable"] or 0.0), ul, share)
 
 
+def hash_sample(rows: DataFrame, fraction: float, key: str = "row_id") -> DataFrame:
+    """A sample without replacement by a hash of ``key``: the same rows on every run, however they are dealt out."""
+    place = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return rows.where(place < int(fraction * (1 << 32)))
+
+
+def text_round_trip(rows: DataFrame, schema: RTSchema, hierarchies: Hierarchies) -> DataFrame:
+    """``rows`` written as text with a header and hierarchy files, read back, encoded, decoded and formatted: (value).
+
+    Blanks in item labels become underscores, as items are separated by blanks.
+    """
+    spark = rows.sparkSession
+    folder = scratch_path(spark, "text")
+    write = lambda lines, name: spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    write([",".join(f"{n}#{k}" for n, k in schema.columns)], "header")
+    text.write_text(rows, schema, f"{folder}/rows")
+    for name, h in hierarchies.items():
+        label = [x.replace(" ", "_") if name == schema.items else x for x in h.labels]
+        write([f"{label[i]}:{','.join(label[c] for c in h.children(i))}" for i in range(h.size) if h.children(i)], f"meta/{name}")
+    read_schema = RTSchema.from_header(text.read_header(spark, f"{folder}/header"))
+    _, back = text.read_dataset(spark, f"{folder}/rows", schema=read_schema)
+    read = {n: text.read_hierarchy(spark, f"{folder}/meta/{n}", n) for n in hierarchies}
+    return text.format_rows(decode(encode(back, read_schema, read), read_schema, read), read_schema)
+
+
 class BoundMissed(ValueError):
     """A loss bound that the clustering alone already misses."""
 
 
 def rum_bound(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies, params: Params, d: float, order: str | None = "R") -> DataFrame:
-    """Small tables: cluster, check the relational loss per row against ``d``, merge within it, anonymize items."""
+    """Small tables (``cluster.SERIAL_ROWS``): cluster, check the relational loss per row against ``d``, merge within it, anonymize items."""
     return _bounded(encoded, schema, hierarchies, params, d, order, "ncp")
 
 
 def tum_bound(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies, params: Params, d: float, order: str | None = "R") -> DataFrame:
-    """Small tables: cluster, merge until the item loss is within ``d`` (a share), anonymize items."""
+    """Small tables (``cluster.SERIAL_ROWS``): cluster, merge until the item loss is within ``d`` (a share), anonymize items."""
     return _bounded(encoded, schema, hierarchies, params, d, order, "ul")
 
 
 def _bounded(encoded: DataFrame, schema: RTSchema, hierarchies: Hierarchies, params: Params, d: float, order: str | None, bound: str) -> DataFrame:
     domain = domains(encoded, schema)
-    names = cluster.cluster_blocks(encoded, schema, hierarchies, params, domain, serial=True)
+    names = cluster.serial_groups(encoded, schema, hierarchies, params, domain)
     grouped = materialize(encoded.drop("group_id").join(names, "row_id"), "grouped")
     if bound == "ncp":
         n = grouped.count()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..hierarchy import Hierarchy
-from ..operators.encode import Hierarchies, encode
+from ..operators.encode import Hierarchies, check_domains, encode
 from ..operators.generalize import relational_columns
 from ..schema import RTSchema, SchemaError
 
@@ -91,10 +91,12 @@ def read_dataset(spark: SparkSession, path: str, splitter: str = ",", schema: RT
 
 
 def read_encoded(spark: SparkSession, path: str, folder: str, splitter: str = ",", schema: RTSchema | None = None):
-    """(schema, hierarchies, domains, encoded rows): a dataset with its metadata, validated."""
+    """(schema, hierarchies, domains, encoded rows): a dataset with its metadata; values outside them are errors."""
     schema, rows = read_dataset(spark, path, splitter, schema)
     hierarchies, declared = read_metadata(spark, folder, schema)
-    return schema, hierarchies, declared, encode(rows, schema, hierarchies)
+    encoded = encode(rows, schema, hierarchies)
+    check_domains(encoded, declared)
+    return schema, hierarchies, declared, encoded
 
 
 def format_rows(decoded: DataFrame, schema: RTSchema) -> DataFrame:

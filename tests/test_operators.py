@@ -91,8 +91,7 @@ def test_clusters_have_k_rows(spark, orders, make):
     names = make(e, orders.schema, orders.hierarchies, Params(k=10, max_clusters=60))
     check_groups(names, e, 10)
     again = make(e.repartition(3), orders.schema, orders.hierarchies, Params(k=10, max_clusters=60))
-    if make is cluster.cluster_rounds:
-        assert sorted(map(tuple, names.collect())) == sorted(map(tuple, again.collect()))
+    assert sorted(map(tuple, names.collect())) == sorted(map(tuple, again.collect()))
 
 
 def test_cluster_edges(spark, small):
@@ -136,8 +135,8 @@ def test_merging(spark, orders):
     log = merge.MergeLog()
     fine = orders.encoded.withColumn("group_id", (F.col("c_nation") * 10 + F.col("c_priority")).cast("long"))
     out = merge.merge_rounds(fine, orders.schema, orders.hierarchies, Params(k=10, rd=1.0, max_merges=10), domain, log, max_rounds=2)
-    ul = merge.group_ul(out, orders.hierarchies["basket"], Params(k=10)).agg(F.sum("ul")).first()[0]
-    assert int(ul) == log.rounds[-1][1] and out.count() == e.count()
+    ul = merge.exact_total(merge.group_ul(out, orders.hierarchies["basket"], Params(k=10)))
+    assert ul == log.rounds[-1][1] and out.count() == e.count()
 
 
 @pytest.mark.parametrize("order,bound", merge.VARIANTS)
@@ -170,3 +169,82 @@ def test_rules_in_order(spark):
     out = [r[0] for r in df.select(items.apply_rules(F.col("items"), [BASKET.cut(b["A"]), BASKET.cut(b["B"])])).collect()]
     assert out == [sorted([b["A"], b["B"]]), [b["B"]]]
     assert coalesce_classes(spark.createDataFrame([(1, 5, 1.0, 1.0, 0), (2, 3, 1.0, 1.0, 0)], "row_id long, group_id long, n_age_lo double, n_age_hi double, c_city int"), SCHEMA).select("group_id").distinct().collect()[0][0] == 3
+
+
+def test_blocks_do_not_depend_on_partitions(spark, orders):
+    e = orders.encoded.drop("group_id")
+    made = [cluster.cluster_blocks(x, orders.schema, orders.hierarchies, Params(k=10), block_rows=100) for x in (e, e.repartition(7))]
+    check_groups(made[0], e, 10)
+    assert sorted(map(tuple, made[0].collect())) == sorted(map(tuple, made[1].collect()))
+
+
+def test_serial_leftovers_weigh_by_rows(spark):
+    """The second leftover goes where loss times rows is least: 65/115 x 3 = 195/115 against 50/115 x 4 = 200/115."""
+    schema = RTSchema.from_header("age#n,basket#t")
+    rows = [(1, 0.0), (2, 0.0), (3, 0.0), (4, 115.0), (5, 115.0), (6, 115.0), (7, 0.0), (8, 50.0)]
+    df = spark.createDataFrame([(i, x, ["a1"]) for i, x in rows], "row_id long, age double, basket array<string>")
+    names = cluster.serial_groups(encode(df, schema, HS), schema, HS, Params(k=3))
+    assert {r["row_id"]: r["group_id"] for r in names.collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 4: 4, 5: 4, 6: 4, 8: 4}
+
+
+def test_serial_clustering_refuses_large_tables(spark, orders, monkeypatch):
+    monkeypatch.setattr(cluster, "SERIAL_ROWS", 100)
+    with pytest.raises(SchemaError, match="over 100 rows"):
+        pipeline.rum_bound(orders.encoded.drop("group_id"), orders.schema, orders.hierarchies, Params(k=10), 9.0)
+
+
+def test_merging_with_many_items(spark):
+    """Item losses beyond any decimal: a hierarchy of 200 leaves."""
+    wide = Hierarchy.from_lines(["*:A,B", "A:" + ",".join(f"a{i}" for i in range(100)), "B:" + ",".join(f"b{i}" for i in range(100))], "basket")
+    hs = {"city": CITY, "basket": wide}
+    rows = [(i, float(i % 7), ["n1", "n2", "s1"][i % 3], [f"a{i}", f"b{i % 5}"]) for i in range(60)]
+    e = encode(spark.createDataFrame(rows, "row_id long, age double, city string, basket array<string>"), SCHEMA, hs).withColumn("group_id", F.col("row_id") % 12)
+    params = Params(k=3, m=1, max_merges=4)
+    losses = merge.group_ul(e, wide, params)
+    assert merge.exact_total(losses) == sum(int(r["ul"]) for r in losses.collect()) > 10**30
+    log = merge.MergeLog()
+    out = merge.merge_rounds(e, SCHEMA, hs, params, domains(e, SCHEMA), log)
+    assert merge.exact_total(merge.group_ul(out, wide, params)) == log.rounds[-1][1] <= merge.exact_total(losses)
+    assert out.count() == 60
+
+
+def test_serial_scaling(spark):
+    """Two rows at node A of a hierarchy of four leaves: (3 + 3) / 15 over two rows; as sets the same."""
+    b = BASKET.ids
+    df = spark.createDataFrame([(1, 7, [b["A"]]), (2, 7, [b["A"]])], "row_id long, group_id long, items array<int>")
+    assert items.ul_serial(df, BASKET, 2).first()["ul"] == "0." + "2" + "0" * 199
+    sets = spark.createDataFrame([(1, 7, [[b["a1"], b["a2"]], [b["b1"]]]), (2, 7, [])], "row_id long, group_id long, item_sets array<array<int>>")
+    assert items.ul_serial(sets, BASKET, 2).first()["ul"] == "0." + "1" + "0" * 199
+
+
+def test_places_and_ranks(spark):
+    from blurframe.operators.order import dense_ranks, numbered
+
+    df = spark.createDataFrame([(i * 7 % 100, i % 5) for i in range(100)], "x long, y long").repartition(6)
+    assert all(r["x"] == r["place"] for r in numbered(df, ["x"]).collect())
+    assert all(r["rank"] == r["y"] + 1 for r in dense_ranks(df, "y", "rank").collect())
+    assert numbered(df.limit(0), ["x"]).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from blurframe import scratch
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=conf)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(session)
+
+
+def test_group_distance_by_brute_force():
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for _ in range(30):
+        groups = [Counter(tuple(sorted(rng.sample(range(8), rng.randrange(0, 5)))) for _ in range(rng.randrange(0, 8))) for _ in range(2)]
+        rows = [frozenset(s) for g in groups for s in g.elements()]
+        assert merge.btd_groups(*groups) == max((merge.btd_value(x, y) for x, y in combinations(rows, 2)), default=0.0)
