@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import btd, gain, lca_of_paths, ncp_ul_ratio, related_paths
 from ..operators import cluster, items, merge, verify
 from ..operators.encode import decode, domains
 from ..operators.generalize import coalesce_classes, dataset_ncp, generalize, group_ncp, group_table, row_ncp
 from ..operators.neighbors import PairCost, nearest
+from ..operators.order import dense_ranks
 from ..schema import Params
 from ..scratch import materialize
 from ..sources.text import format_rows
@@ -26,13 +26,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     """Register a query under its function's name; ``sql`` follows the fixture's common tables."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {fixture.SQL}{sql}"
+            SQL[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{fixture.SQL}{sql}"
         return f
 
     return add
@@ -394,15 +394,13 @@ def quick_merge_candidates(spark, sf_dir):
 def rank_sum_partners(spark, sf_dir):
     """Sum of two dense rankings, by relational loss and by item distance.
 
-    A dense rank is a value's place among the distinct values, so distinct
-    values are ranked and joined back, and the groups themselves are not
-    sorted in one task.
+    A dense rank is a value's place among the distinct values, which are sorted
+    by range and joined back.
     """
     _, _, _, g = _groups(spark, sf_dir)
     both = materialize(g.select("group_id", F.round("ncp", 6).alias("ncp")).join(btd_groups(spark, sf_dir), "group_id"), "ranked")
     for c in ("ncp", "btd"):
-        ranks = both.select(c).distinct().withColumn(f"rank_{c}", F.row_number().over(Window.orderBy(c)))
-        both = both.join(ranks, c)
+        both = dense_ranks(both, c, f"rank_{c}")
     return both.select("group_id", (F.col("rank_ncp") + F.col("rank_btd")).cast("long").alias("rank_sum"))
 
 
@@ -422,13 +420,81 @@ def row_loss(spark, sf_dir):
     return g.select("row_id", F.round(row_ncp(f.schema, f.hierarchies, domains(e, f.schema)), 6).alias("ncp"))
 
 
-# iterative plans: no SQL; tests check their invariants ------------------------------------------
+# clustering, item anonymization and its loss --------------------------------------------------
 
 
-@query()
+@query(f""", ctr AS (SELECT * FROM enc ORDER BY row_id LIMIT {CENTERS}),
+pairs AS (SELECT c.row_id AS center, e.row_id AS id, {_COST.format(a="e", b="c")} AS cost FROM enc e CROSS JOIN ctr c JOIN frac na ON na.attr = 'nation' AND na.node = e.nation JOIN frac nr ON nr.attr = 'nation' AND nr.node = e.region),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY cost, id) AS place FROM pairs) WHERE place <= {K + K // 2}),
+ord AS (SELECT center, list(id ORDER BY place) AS ids, row_number() OVER (ORDER BY max(cost) FILTER (place = {K}), center) AS i FROM near GROUP BY center),
+acc AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS center, CAST([] AS BIGINT[]) AS got
+  UNION ALL
+  SELECT i, CASE WHEN len(f) = {K} THEN used || f ELSE used END, center, CASE WHEN len(f) = {K} THEN f ELSE CAST([] AS BIGINT[]) END
+  FROM (SELECT ord.i, acc.used, ord.center, list_filter(ord.ids, lambda x: NOT list_contains(acc.used, x))[1:{K}] AS f FROM acc JOIN ord ON ord.i = acc.i + 1)
+)
+SELECT unnest(got) AS row_id, center AS group_id FROM acc WHERE len(got) > 0""", recursive=True)
+def cluster_round(spark, sf_dir):
+    """One greedy round: the first centers, their nearest rows, and which centers are accepted."""
+    f = fixture.load(spark, sf_dir)
+    e = materialize(f.encoded, "encoded")
+    joined = cluster.cluster_round(e, f.schema, PairCost.make(f.schema, f.hierarchies, domains(e, f.schema)), Params(k=K), CENTERS)
+    return spark.createDataFrame(list(joined.items()), "row_id long, group_id long")
+
+
+#: Cuts for sets of one item: an item that is too rare in its class goes to its noun, and all go to the root where that is too rare too.
+_CUT = f"""it AS (SELECT e.row_id, e.status, e.priority, e.nation, e.item, l.parent AS noun FROM (SELECT row_id, status, priority, nation, unnest(items) AS item FROM enc) e JOIN links l ON l.attr = 'basket' AND l.child = e.item),
+si AS (SELECT status, priority, nation, item, noun, count(DISTINCT row_id) AS n FROM it GROUP BY ALL),
+sn AS (SELECT status, priority, nation, noun, count(DISTINCT row_id) AS n FROM it GROUP BY ALL),
+low AS (SELECT status, priority, nation, bool_or(n < {K}) AS root FROM sn GROUP BY ALL),
+lift AS (SELECT status, priority, nation, noun, bool_or(n < {K}) AS up FROM si GROUP BY ALL),
+cut AS (SELECT DISTINCT it.row_id, status, priority, nation, CASE WHEN root THEN 0 WHEN up THEN noun ELSE item END AS node FROM it JOIN low USING (status, priority, nation) JOIN lift USING (status, priority, nation, noun))"""
+
+
+def _cut(spark, sf_dir):
+    f, e = _classes(spark, sf_dir)
+    return f, pipeline.anonymize_items(e, f.schema, f.hierarchies, Params(k=K, m=1))
+
+
+@query(f", {_CUT} SELECT row_id, {_LIST.format('list_sort(list(node))')} AS items FROM cut GROUP BY row_id")
+def apriori_single_items(spark, sf_dir):
+    """Items generalized class by class so that every item has support k."""
+    _, out = _cut(spark, sf_dir)
+    return out.select("row_id", _text("items").alias("items"))
+
+
+@query(f""", {_CUT} SELECT status, priority, nation, CAST(sum(w.w) AS VARCHAR) AS ul FROM cut JOIN leafs f ON f.attr = 'basket' AND f.node = cut.node JOIN (VALUES {_UL}) w(u, w) ON w.u = f.leaf_cnt GROUP BY status, priority, nation""")
+def ul_after_apriori(spark, sf_dir):
+    """Item loss of every class after its items were generalized."""
+    f, out = _cut(spark, sf_dir)
+    loss = items.ul_hierarchy(out, f.hierarchies["basket"], CLASS)
+    return loss.select(F.col("c_status").alias("status"), F.col("c_priority").alias("priority"), F.col("c_nation").alias("nation"), F.col("ul").cast("string").alias("ul"))
+
+
+@query(f""", {_CUT}, loss AS (SELECT sum(w.w) AS ul FROM cut JOIN leafs f ON f.attr = 'basket' AND f.node = cut.node JOIN (VALUES {_UL}) w(u, w) ON w.u = f.leaf_cnt)
+SELECT CAST(ul AS VARCHAR) AS ul_total, CAST((SELECT count(*) FROM enc) AS BIGINT) AS n_rows FROM loss""")
+def ul_total_after_apriori(spark, sf_dir):
+    """The total item loss, as merging sums it: class by class, in whole numbers of any size."""
+    f, e = _classes(spark, sf_dir)
+    losses = merge.group_ul(e, f.hierarchies["basket"], Params(k=K, m=1))
+    return spark.createDataFrame([(str(merge.exact_total(losses)), e.count())], "ul_total string, n_rows long")
+
+
+@query("""SELECT row_id FROM rt WHERE CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT) < 858993459""")
 def sample_rows(spark, sf_dir):
-    """The sampling operator: a fifth of the rows without replacement."""
-    return fixture.rows(spark, sf_dir).select("row_id").sample(False, 0.2, 123)
+    """The sampling operator: a fifth of the rows without replacement, chosen by a hash of their id, alike on every run."""
+    return pipeline.hash_sample(fixture.rows(spark, sf_dir).select("row_id"), 0.2)
+
+
+@query(f"""SELECT * FROM (SELECT concat_ws(',', CASE WHEN price = floor(price) THEN CAST(CAST(price AS BIGINT) AS VARCHAR) ELSE CAST(price AS VARCHAR) END, nation, priority, status, array_to_string(list_sort(list_transform(labels, lambda x: replace(x, ' ', '_'))), ' ')) AS value FROM rt)""")
+def text_round_trip(spark, sf_dir):
+    """Rows written as text under a header, read back by it, encoded, decoded and formatted."""
+    f = fixture.load(spark, sf_dir)
+    plain = f.rows.select("price", "nation", "priority", "status", F.transform("basket", lambda x: F.translate(x, " ", "_")).alias("basket"))
+    return pipeline.text_round_trip(plain, f.schema, f.hierarchies)
+
+
+# iterative plans: no SQL; tests check their invariants ------------------------------------------
 
 
 def _classes(spark, sf_dir):
@@ -491,6 +557,58 @@ def pipeline_rt(spark, sf_dir):
     return format_rows(decode(done.rows, f.schema, f.hierarchies), f.schema)
 
 
+@query()
+def ul_serial_scaling(spark, sf_dir):
+    """Item loss of every class in the serial scaling, by cuts of the hierarchy."""
+    f, out = _cut(spark, sf_dir)
+    out = materialize(out, "cut")
+    return items.ul_serial(out, f.hierarchies["basket"], out.count())
+
+
+def _status_classes(spark, sf_dir):
+    """Few groups, for the methods that merge one pair at a time: orders by status and region."""
+    f = fixture.load(spark, sf_dir)
+    h = f.hierarchies["nation"]
+    region = F.element_at(F.lit([h.parent(i) or 0 for i in range(h.size)]), F.col("c_nation") + 1)
+    return f, f.encoded.withColumn("group_id", (F.col("c_status") * 1000 + region).cast("long"))
+
+
+def _serial_merge(order: str, bound: str):
+    def run(spark, sf_dir):
+        f, e = _status_classes(spark, sf_dir)
+        e = materialize(e, "encoded")
+        d = 3.5 if bound == "ncp" else 0.0
+        merger = merge.SerialMerger(f.schema, f.hierarchies, domains(e, f.schema), Params(k=K, m=1), order, bound, d)
+        return merger(e).select("row_id", "group_id")
+
+    run.__name__ = f"merge_serial_{order.lower()}_{bound}"
+    run.__doc__ = f"Serial merging: partners by {order}, bound by {bound}."
+    return run
+
+
+for _order, _bound in merge.VARIANTS:
+    query()(_serial_merge(_order, _bound))
+
+
+@query()
+def rum_bound(spark, sf_dir):
+    """Serial clustering, merging within a bound of relational loss, item anonymization (a small table; larger ones are refused)."""
+    f = fixture.load(spark, sf_dir)
+    return _bounded(f, pipeline.rum_bound, 3.5)
+
+
+@query()
+def tum_bound(spark, sf_dir):
+    """The same with a bound of item loss."""
+    f = fixture.load(spark, sf_dir)
+    return _bounded(f, pipeline.tum_bound, 0.0)
+
+
+def _bounded(f, bound, d):
+    out = bound(f.encoded.drop("group_id"), f.schema, f.hierarchies, Params(k=K, m=1), d, order=None)
+    return out.select("row_id", "group_id", _text("items").alias("items"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group generalization with its loss."""
     _, _, _, g = _groups(spark, sf_dir)
