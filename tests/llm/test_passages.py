@@ -52,7 +52,11 @@ def near(a, b):
     place = {w: i for i, w in enumerate(b)}
     sa, sb = ([tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in (a, b))
     ends = [(i, place[w]) for i, w in enumerate(a) if w in place]
-    shared = np.cumsum([0] + [s in set(sb) for s in sa])
+    known, shared = set(sb), [0]
+    for s in sa:
+        shared.append(shared[-1] + (s in known))
+    if shared[-1] < 41:
+        return False
     for i, j in ends:
         for i2, j2 in ends:
             n, m = i2 - i + 1, j2 - j + 1
