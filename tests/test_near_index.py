@@ -94,3 +94,75 @@ def test_bounds_on_more_rows_than_before(spark, bound, d):
     out = getattr(pipeline, bound)(twice, f.schema, f.hierarchies, Params(k=40, m=1), d, order=None)
     assert out.count() == 2 * e.count() > 20_000
     assert out.groupBy("group_id").count().where("count < 40").isEmpty()
+
+
+def merged_by_hand(f, e, order, bound, d, params):
+    """Groups after serial merging with baskets as counters, losses by class_ul and distances by all pairs."""
+    from collections import Counter
+
+    from blurframe.operators import merge
+    from blurframe.operators.encode import domains
+
+    groups = {}
+    for r in e.collect():
+        g = groups.setdefault(r["group_id"], merge._Group(0, {"price": np.inf}, {"price": -np.inf}, {}, Counter()))
+        g.n, g.lo["price"], g.hi["price"] = g.n + 1, min(g.lo["price"], r["n_price_lo"]), max(g.hi["price"], r["n_price_hi"])
+        g.cat = {c: f.hierarchies[c].lca(g.cat.get(c, r[f"c_{c}"]), r[f"c_{c}"]) for c in ("nation", "priority", "status")}
+        g.baskets[tuple(r["items"])] += 1
+
+    class Plain(merge.SerialMerger):
+        def _ul(self, g):
+            return merge.class_ul(sorted(g.baskets.items()), self.h["basket"], self.params)
+
+        def _partners(self, center, groups, c, ncps):
+            far = {}
+            for i in ncps:
+                sets = [frozenset(s) for s in (center.baskets + groups[i].baskets).elements()]
+                far[i] = max(merge.btd_value(a, b) for n, a in enumerate(sets) for b in sets[:n])
+            a, b = merge.dense_ranks(ncps), merge.dense_ranks(far)
+            return sorted(ncps, key=lambda i: ({"R": ncps[i], "T": far[i], "RT": a[i] + b[i]}[order], i))
+
+    return Plain(f.schema, f.hierarchies, domains(e, f.schema), params, order, bound, d).merge(groups)
+
+
+def serial_merge(spark, orders, order, bound, params=Params(k=5, m=1)):
+    from pyspark.sql import functions as F
+
+    from blurframe.operators import merge
+    from blurframe.operators.encode import domains
+
+    e = orders.encoded.where("row_id < 300").withColumn("group_id", (F.col("c_status") * 1000 + F.col("c_priority")).cast("long")).cache()
+    d = 3.2 if bound == "ncp" else 0.0
+    names = merge.resolve(merged_by_hand(orders, e, order, bound, d, params))
+    want = {r["row_id"]: names.get(r["group_id"], r["group_id"]) for r in e.collect()}
+    out = merge.SerialMerger(orders.schema, orders.hierarchies, domains(e, orders.schema), params, order, bound, d)(e)
+    assert names and {r["row_id"]: r["group_id"] for r in out.collect()} == want
+
+
+@pytest.fixture
+def few_allowed(monkeypatch):
+    """More distinct baskets than this were refused, at 500,000."""
+    from blurframe.operators import merge
+
+    monkeypatch.setattr(merge, "SERIAL_BASKETS", 50, raising=False)
+
+
+@pytest.mark.parametrize("params", [Params(k=5, m=1), Params(k=5, m=2), Params(k=5, m=1, mode="strict")])
+def test_serial_merge_r_ul(spark, orders, few_allowed, params):
+    serial_merge(spark, orders, "R", "ul", params)
+
+
+def test_item_loss_with_inner_nodes_as_items():
+    from collections import Counter
+
+    from blurframe.operators import merge
+
+    h = HS["basket"]
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        sets = Counter(tuple(sorted(rng.choice(np.arange(h.size), rng.integers(0, 4), replace=False).tolist())) for _ in range(rng.integers(1, 25)))
+        for mode in ("reference", "strict"):
+            p = Params(k=4, m=1, mode=mode)
+            merger = merge.SerialMerger(SCHEMA, HS, {}, p, "R", "ul", 0.0)
+            assert merge.Baskets.of(sets).pairs() == sorted(sets.items())
+            assert merger._ul(merge._Group(0, {}, {}, {}, merge.Baskets.of(sets))) == merge.class_ul(sorted(sets.items()), h, p)
