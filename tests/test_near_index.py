@@ -166,3 +166,7 @@ def test_item_loss_with_inner_nodes_as_items():
             merger = merge.SerialMerger(SCHEMA, HS, {}, p, "R", "ul", 0.0)
             assert merge.Baskets.of(sets).pairs() == sorted(sets.items())
             assert merger._ul(merge._Group(0, {}, {}, {}, merge.Baskets.of(sets))) == merge.class_ul(sorted(sets.items()), h, p)
+
+
+def test_serial_merge_t_ncp(spark, orders, few_allowed):
+    serial_merge(spark, orders, "T", "ncp")
