@@ -170,3 +170,7 @@ def test_item_loss_with_inner_nodes_as_items():
 
 def test_serial_merge_t_ncp(spark, orders, few_allowed):
     serial_merge(spark, orders, "T", "ncp")
+
+
+def test_serial_merge_rt_ncp(spark, orders, few_allowed):
+    serial_merge(spark, orders, "RT", "ncp")
