@@ -178,3 +178,7 @@ def test_serial_merge_rt_ncp(spark, orders, few_allowed):
 
 def test_serial_merge_t_ul(spark, orders, few_allowed):
     serial_merge(spark, orders, "T", "ul")
+
+
+def test_serial_merge_r_ncp(spark, orders, few_allowed):
+    serial_merge(spark, orders, "R", "ncp")
