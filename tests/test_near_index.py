@@ -182,3 +182,7 @@ def test_serial_merge_t_ul(spark, orders, few_allowed):
 
 def test_serial_merge_r_ncp(spark, orders, few_allowed):
     serial_merge(spark, orders, "R", "ncp")
+
+
+def test_serial_merge_rt_ul(spark, orders, few_allowed):
+    serial_merge(spark, orders, "RT", "ul")
