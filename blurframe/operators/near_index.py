@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..scratch import materialize, ship
 from ..schema import RTSchema
@@ -33,6 +34,16 @@ def searchable(rows: dict[str, np.ndarray], cost: PairCost) -> bool:
     return all(np.isfinite(rows[f"n_{x}_{end}"]).all() for x in cost.schema.numeric for end in ("lo", "hi"))
 
 
+def bounded(rows: DataFrame, schema: RTSchema) -> bool:
+    """The same of a frame."""
+    most = np.finfo(float).max
+    ok = F.lit(True)
+    for c in relational_columns(schema):
+        if c.startswith("n_"):
+            ok = ok & F.coalesce(F.col(c).between(-most, most), F.lit(False))
+    return rows.where(~ok).isEmpty()
+
+
 class CellIndex:
     """``rows`` are arrays by ascending id; rows are meant by their places in them."""
 

@@ -186,3 +186,50 @@ def test_serial_merge_r_ncp(spark, orders, few_allowed):
 
 def test_serial_merge_rt_ul(spark, orders, few_allowed):
     serial_merge(spark, orders, "RT", "ul")
+
+
+def test_quick_merge_in_one_task(spark, orders, monkeypatch):
+    """Rounds in one task merge what rounds over the table merge."""
+    from pyspark.sql import functions as F
+
+    from blurframe.operators import merge
+    from blurframe.operators.encode import domains
+
+    e = orders.encoded.withColumn("group_id", F.expr("cast(c_nation * 100 + c_priority * 10 + c_status as long)")).cache()
+    before = e.select("group_id").distinct().count()
+    searched, own = [], merge.nearest
+    monkeypatch.setattr(merge, "nearest", lambda *a, **k: searched.append(1) or own(*a, **k))
+
+    def run(rd):
+        log = merge.MergeLog()
+        out = merge.quick_merge(e, orders.schema, orders.hierarchies, Params(k=10, rd=rd, max_merges=100), domains(e, orders.schema), log)
+        return sorted((r["row_id"], r["group_id"]) for r in out.select("row_id", "group_id").collect()), log.rounds
+
+    for rd in (0.2, 0.6):
+        fast, log = run(rd)
+        assert not searched and len({g for _, g in fast}) < before
+        with monkeypatch.context() as m:
+            m.setattr(merge, "QUICK_GROUPS", 0)
+            slow, slow_log = run(rd)
+        assert searched and slow == fast
+        assert [r[2] for r in log] == [r[2] for r in slow_log] and np.allclose([r[0] for r in log], [r[0] for r in slow_log])
+        searched.clear()
+
+
+@pytest.mark.parametrize("case", [(7, 3000, 100_000, 100_000.0, True), (8, 2000, 50, 50.0, True), (9, 1500, 9, 0.0, False)])
+def test_partners_by_index(case, monkeypatch):
+    from blurframe.operators import merge
+
+    groups, cost = made(*case)
+    rng = np.random.default_rng(4)
+    groups["n_rows"] = rng.integers(1, 50, case[1]).astype(float)
+    one = sum(np.array([HS[c].leaf_frac(i) for i in range(HS[c].size)])[groups[f"c_{c}"]] for c in ("city", "job"))
+    for x in ("age", "pay"):
+        if cost.domain[x] > 0:
+            one = one + (groups[f"n_{x}_hi"] - groups[f"n_{x}_lo"]) / cost.domain[x]
+    groups["ncp"] = one * groups["n_rows"]
+    run = lambda: merge.quick_rounds(groups, cost, HS, Params(k=2, max_merges=100), float(groups["ncp"].sum()), 1e18)
+    monkeypatch.setattr(merge, "SCAN_GROUPS", 10**9)
+    every = run()
+    monkeypatch.setattr(merge, "SCAN_GROUPS", 1)
+    assert run() == every and len(every[0]) == case[1] - 1
