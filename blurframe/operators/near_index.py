@@ -25,6 +25,8 @@ from .neighbors import PairCost, arrays
 
 #: Cells whose order of other cells is kept.
 _KEPT = 2000
+#: Combinations of categorical values, there or not, that may be numbered by a table.
+_CODES = 1 << 16
 #: Rows of a batch of results.
 _OUT = 500_000
 
@@ -57,9 +59,15 @@ class CellIndex:
                 code = np.unique(code, return_inverse=True)[1]
                 most = n
             code, most = code * size + rows[f"c_{c}"], most * size
-        _, first, cell = np.unique(code, return_index=True, return_inverse=True)
+        if most <= _CODES:  # no sort is needed
+            there = np.flatnonzero(np.bincount(code, minlength=most))
+            first, number = np.empty(most, dtype=np.int64), np.empty(most, dtype=np.int64)
+            first[code], number[there] = np.arange(n), np.arange(len(there))
+            first, cell = first[there], number[code]
+        else:
+            _, first, cell = np.unique(code, return_index=True, return_inverse=True)
         del code
-        self.cell, self.values = cell.astype(np.int32), {c: rows[c][first] for c in self.cats}
+        self.cell, self.values = cell.astype(np.int16 if len(first) < 1 << 15 else np.int32), {c: rows[c][first] for c in self.cats}
         x = rows[f"n_{self.nums[0]}_lo"] if self.nums else np.zeros(n)
         self.order = np.lexsort((x, self.cell)).astype(np.int32 if n < 1 << 31 else np.int64)  # stable, so equal rows stay by id
         self.x = x[self.order]

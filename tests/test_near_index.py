@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from blurframe.hierarchy import Hierarchy
-from blurframe.operators import cluster
+from blurframe.operators import cluster, near_index
 from blurframe.operators.near_index import CellIndex, searchable
 from blurframe.operators.neighbors import PairCost
 from blurframe.plans import fixture, pipeline
@@ -35,8 +35,10 @@ def made(seed, n, values, domain, ranges=False):
 CASES = [(1, 500, 1000, 1000.0, False), (2, 500, 5, 5.0, False), (3, 400, 40, 0.0, False), (4, 400, 40, 40.0, True), (5, 30, 3, 3.0, True)]
 
 
+@pytest.mark.parametrize("codes", [1 << 16, 0])
 @pytest.mark.parametrize("case", CASES)
-def test_nearest_equals_a_full_scan(case):
+def test_nearest_equals_a_full_scan(case, codes, monkeypatch):
+    monkeypatch.setattr(near_index, "_CODES", codes)
     rows, cost = made(*case)
     index, n = CellIndex(rows, cost), case[1]
     assert searchable(rows, cost)
