@@ -168,17 +168,25 @@ def in_one_task(rows: DataFrame, schema: RTSchema, id_column: str, work: Callabl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
         for b in batches:
-            parts.append({c: v.astype(np.int32) if c.startswith("c_") else v.copy() for c, v in arrays(b, schema, id_column).items()})
+            new = arrays(b, schema, id_column)
+            part = {c: v.astype(np.min_scalar_type(-1 - int(v.max(initial=0)))) if c.startswith("c_") else v.copy() for c, v in new.items() if not c.endswith("_hi")}
+            for x in schema.numeric:  # most rows are points, which are held once
+                lo, hi = part[f"n_{x}_lo"], new[f"n_{x}_hi"]
+                part[f"n_{x}_hi"] = lo if np.array_equal(lo, hi) else hi.copy()
+            parts.append(part)
         if not parts:
             return
         by_id = np.argsort(np.concatenate([p["id"] for p in parts]), kind="stable")
+        points = [x for x in schema.numeric if all(p[f"n_{x}_lo"] is p[f"n_{x}_hi"] for p in parts)]
+        for p in parts:
+            for x in points:
+                del p[f"n_{x}_hi"]
         data = {}
         for c in list(parts[0]):
             data[c] = np.concatenate([p.pop(c) for p in parts])[by_id]
         del by_id
-        for x in schema.numeric:
-            if np.array_equal(data[f"n_{x}_lo"], data[f"n_{x}_hi"]):
-                data[f"n_{x}_hi"] = data[f"n_{x}_lo"]
+        for x in points:
+            data[f"n_{x}_hi"] = data[f"n_{x}_lo"]
         yield from work(data)
 
     columns = [id_column, *relational_columns(schema), *(c for c in ("n_rows", "ncp") if c in rows.columns)]
