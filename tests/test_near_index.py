@@ -235,3 +235,49 @@ def test_partners_by_index(case, monkeypatch):
     every = run()
     monkeypatch.setattr(merge, "SCAN_GROUPS", 1)
     assert run() == every and len(every[0]) == case[1] - 1
+
+
+def many_groups(seed, n, items, most):
+    """(arrays of groups, rows of (group, bits, count), merger's hierarchies and schema): random groups with their baskets."""
+    from collections import Counter
+
+    from blurframe.hierarchy import Hierarchy
+
+    rng = np.random.default_rng(seed)
+    basket = Hierarchy.from_lines(["*:" + ",".join(f"N{i}" for i in range(items // 4)), *(f"N{i}:" + ",".join(f"i{i}_{j}" for j in range(4)) for i in range(items // 4))], "basket")
+    hs = {**HS, "basket": basket}
+    leaves = np.array(basket.leaves())
+    groups, rows = {c: [] for c in ("id", "n_rows", "c_city", "c_job", "n_age_lo", "n_age_hi", "n_pay_lo", "n_pay_hi")}, []
+    for g in np.sort(rng.choice(10 * n, n, replace=False)).tolist():
+        sets = Counter(tuple(sorted(rng.choice(leaves, rng.integers(0, most), replace=False).tolist())) for _ in range(rng.integers(1, 15)))
+        low = {x: float(rng.integers(0, 90)) for x in ("age", "pay")}
+        new = {"id": g, "n_rows": float(sum(sets.values())), "c_city": rng.integers(HS["city"].size), "c_job": rng.integers(HS["job"].size)}
+        for x, at in low.items():
+            new |= {f"n_{x}_lo": at, f"n_{x}_hi": at + float(rng.integers(0, 10))}
+        for c, v in new.items():
+            groups[c].append(v)
+        for s, many in sets.items():
+            bits = sum(1 << x for x in s)
+            rows.append((g, *(np.uint64(bits >> 64 * w & 2**64 - 1).astype(np.int64) for w in range((basket.size + 63) // 64)), many))
+    return {c: np.array(v) for c, v in groups.items()}, np.array(rows, dtype=np.int64), hs
+
+
+def merged_as_arrays(order, bound, d, case, params):
+    from blurframe.operators import merge
+    from blurframe.operators.serial_table import SerialTable
+
+    data, rows, hs = many_groups(*case)
+    merger = merge.SerialMerger(SCHEMA, hs, {"age": 100.0, "pay": 100.0}, params, order, bound, d)
+    groups = merger._groups(data)
+    for i, b in zip(data["id"].tolist(), merger._baskets(rows, data["id"])):
+        groups[i].baskets = b
+    want = merge.resolve(merger.merge(groups))
+    assert len(want) > 3 and merger._run_table(rows, SerialTable(data, SCHEMA, hs, merger.domain)) == want
+
+
+@pytest.mark.parametrize("case", [(1, 40, 16, 6), (2, 60, 80, 12), (3, 50, 64, 3), (4, 45, 8, 8)])
+@pytest.mark.parametrize("order", ["R", "T", "RT"])
+def test_many_groups_merge_under_relational_loss(order, case):
+    """Arrays of groups merge as groups do that are looked at one by one."""
+    for d in (2.5, 3.3, 9.0):
+        merged_as_arrays(order, "ncp", d, case, Params(k=5, m=1))
