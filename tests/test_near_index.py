@@ -281,3 +281,12 @@ def test_many_groups_merge_under_relational_loss(order, case):
     """Arrays of groups merge as groups do that are looked at one by one."""
     for d in (2.5, 3.3, 9.0):
         merged_as_arrays(order, "ncp", d, case, Params(k=5, m=1))
+
+
+@pytest.mark.parametrize("case", [(5, 40, 16, 6), (6, 60, 80, 12), (7, 50, 64, 3), (8, 45, 8, 8)])
+@pytest.mark.parametrize("order", ["R", "T", "RT"])
+def test_many_groups_merge_under_item_loss(order, case):
+    for params in (Params(k=5, m=1), Params(k=5, m=1, mode="strict"), Params(k=3, m=1, ul="pcta")):
+        merged_as_arrays(order, "ul", 0.0, case, params)
+    if case[3] < 4:
+        merged_as_arrays(order, "ul", 0.0, case, Params(k=4, m=2))

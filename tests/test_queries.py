@@ -32,7 +32,7 @@ def test_merging_ends_by_its_own_rules(spark, sf_dir, monkeypatch, name):
     assert seen == [None]
 
 
-@pytest.mark.parametrize("name,order", [("rum_bound", "T")])
+@pytest.mark.parametrize("name,order", [("rum_bound", "T"), ("tum_bound", "RT")])
 def test_bounds_merge(spark, monkeypatch, name, order):
     """The clusters are merged, in the partner order of the reference's drivers, before items are anonymized."""
     seen, own = [], queries.merge.SerialMerger.__call__
